@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +29,8 @@ def line_table(text: str | None) -> tuple[list[int], list[int], list[int]]:
     return at, hashes, counts
 
 
-def winnow(hashes: list[int], counts: list[int], run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> list[tuple[int, int, int, int]]:
-    """Selected grams as (first line, line after the last, hash, second hash).
+def winnow(hashes: list[int], counts: list[int], run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> tuple[dict[int, tuple[int, int]], list[int]]:
+    """The selected grams, as hash pairs by first line, and for each line the gram that its window selects.
 
     A gram is the shortest run of lines from a line on with gram_words words. The
     window of a line holds the grams from there on that end within run_words
@@ -41,82 +41,80 @@ def winnow(hashes: list[int], counts: list[int], run_words: int = RUN_WORDS, gra
     total = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     ends = np.searchsorted(total, total[:-1] + gram_words)
     n = int((ends < len(total)).sum())
-    if not n:
-        return []
-    grams = []
-    for i in range(n):
-        raw = np.array(hashes[i : ends[i]], dtype=np.uint64).tobytes()
-        d = xxhash.xxh3_128_intdigest(raw)
-        grams.append((d >> 64, d & (1 << 64) - 1))
-    picked: dict[int, None] = {}
+    raw = np.array(hashes, dtype=np.uint64).tobytes()
+    grams = [xxhash.xxh3_128_intdigest(raw[8 * i : 8 * e]) for i, e in enumerate(ends[:n].tolist())]
     last = np.searchsorted(ends[:n], np.searchsorted(total, total[:n] + run_words, side="right") - 1, side="right")
-    for i in range(n):
-        window = range(i, max(i + 1, int(last[i])))
-        picked[min(window, key=lambda j: (grams[j], -j))] = None
-    return [(i, int(ends[i]), *grams[i]) for i in picked]
+    chosen = [min(range(i, max(i + 1, int(last[i]))), key=lambda j: (grams[j], -j)) for i in range(n)]
+    return {i: (grams[i] >> 64, grams[i] & (1 << 64) - 1) for i in sorted(set(chosen))}, chosen
+
+
+def runs(hashes: list[int], counts: list[int], run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> list[tuple[int, int, list[int], list[int]]]:
+    """For each selected gram its hashes, and the runs of run_words words around it: places (first << 32 | upto) and hashes.
+
+    The runs are the shortest ones from each line on and up to each line. Each
+    stands with the gram that the window of its first line selects, which lies in
+    the run. They cover every line of every longer run, from its first to its last.
+    """
+    picked, chosen = winnow(hashes, counts, run_words, gram_words)
+    total = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    on = np.searchsorted(total, total[:-1] + run_words)
+    back = np.searchsorted(total, total[1:] - run_words, side="right") - 1
+    found = {(p, e) for p, e in enumerate(on.tolist()) if e < len(total)} | {(p, q + 1) for q, p in enumerate(back.tolist()) if p >= 0}
+    raw = np.array(hashes, dtype=np.uint64).tobytes()
+    by: dict[int, tuple[list[int], list[int]]] = {}
+    for p, e in sorted(found):
+        places, keys = by.setdefault(chosen[p], ([], []))
+        places.append(p << 32 | e)
+        keys.append(_signed(xxhash.xxh64_intdigest(raw[8 * p : 8 * e])))
+    return [(*map(_signed, picked[g]), *lists) for g, lists in by.items()]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-GRAMS = "tk long, first int, upto int, words int, h1 long, h2 long, before array<long>, after array<long>"
+GRAMS = "tk long, h1 long, h2 long, places array<long>, keys array<long>"
 
 
-def grams(docs: DataFrame, doc_id: str, text: str, run_words: int, gram_words: int) -> DataFrame:
-    """doc_id and GRAMS: each selected gram with the lines around it, nearest first, up to run_words words each way."""
+def fingerprints(docs: DataFrame, doc_id: str, text: str, run_words: int, gram_words: int) -> DataFrame:
+    """doc_id and GRAMS: the selected grams of each text, with their runs."""
     own = docs.select(F.col(doc_id), F.col("__gp_text").alias("tk"), F.col(text).alias("__t"))
     schema = T.StructType([own.schema.fields[0], *T._parse_datatype_string(GRAMS).fields])
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in schema.names]
-            for i in range(batch.num_rows):
+            where: list[int] = []
+            rows: list[list] = [[] for _ in kinds]
+            for i, tk in enumerate(batch.column(1).to_pylist()):
                 _, hashes, counts = line_table(batch.column(2)[i].as_py())
-                mixed = [_signed((h >> 24 << 24) | min(c, (1 << 24) - 1)) for h, c in zip(hashes, counts)]
-                for first, upto, h1, h2 in winnow(hashes, counts, run_words, gram_words):
-                    near = [first, upto]
-                    for side, step in ((0, -1), (1, 1)):
-                        got = 0
-                        while got < run_words and (near[side] > 0 if step < 0 else near[side] < len(counts)):
-                            got += counts[near[side] - (step < 0)]
-                            near[side] += step
-                    values = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), first, upto, sum(counts[first:upto]), _signed(h1), _signed(h2), mixed[near[0] : first][::-1], mixed[upto : near[1]])
-                    for column, value in zip(rows, values):
+                for values in runs(hashes, counts, run_words, gram_words) if sum(counts) >= run_words else ():
+                    where.append(i)
+                    for column, value in zip(rows, (tk, *values)):
                         column.append(value)
-            arrays = [pa.array(c, type=t) for c, t in zip(rows, [batch.schema.types[0], pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())])]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            ids = batch.column(0).take(pa.array(where, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(rows, kinds))], names=schema.names)
 
     return own.mapInArrow(run, schema)
 
 
-def _same(x: str, y: str) -> Column:
-    """How many elements from the start on are equal."""
-    differs = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), F.lit(False))
-    return F.when(differs > 0, differs - 1).otherwise(F.least(F.size(x), F.size(y))).cast("int")
-
-
-def _words(x: str, n: str) -> Column:
-    return F.aggregate(F.slice(x, 1, F.col(n)), F.lit(0).cast("long"), lambda s, v: s + v.bitwiseAND(F.lit((1 << 24) - 1)))
-
-
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """doc_id, tk (hash of the text), first, upto (half-open, among the lines with words): runs to delete, overlapping.
 
-    The first occurrence of a gram is that of the smallest (doc_id, text hash,
-    line), null first; every other occurrence is matched against it alone, line
-    by line to both sides, and kept if the match has run_words words. So the work
-    grows with the occurrences, not with their pairs, and one occurrence of every
-    line that goes stays.
+    Fingerprints that occur once go at once. The runs around the others meet by
+    fingerprint and hash; the one at the smallest (doc_id, text hash, line), null
+    first, stays, every other one is returned. So the work grows with the
+    occurrences, not with their pairs.
     """
     keyed = docs.select(doc_id, text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__gp_text"))
-    found = cut(grams(keyed, doc_id, text, run_words, gram_words), "grams")
-    place = F.struct(F.col(doc_id).alias("id"), "tk", "first")
-    heads = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(place.alias("place"), "before", "after")).alias("head")).where("n > 1").select("h1", "h2", F.col("head.place").alias("place"), F.col("head.before").alias("hb"), F.col("head.after").alias("ha"))
-    later = found.join(heads, ["h1", "h2"]).where(~place.eqNullSafe(F.col("place")))
-    later = later.withColumn("back", _same("before", "hb")).withColumn("on", _same("after", "ha"))
-    later = later.where(F.col("words") + _words("before", "back") + _words("after", "on") >= run_words)
-    return later.select(doc_id, "tk", (F.col("first") - F.col("back")).alias("first"), (F.col("upto") + F.col("on")).alias("upto"), F.col("place.id").alias("kept"))
+    found = cut(fingerprints(keyed, doc_id, text, run_words, gram_words), "fingerprints")
+    often = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    around = found.join(often, ["h1", "h2"]).select(F.col(doc_id).alias("id"), "tk", "h1", "h2", F.explode(F.arrays_zip("places", "keys")).alias("run"))
+    around = cut(around.select("id", "tk", "h1", "h2", F.shiftright("run.places", 32).cast("int").alias("first"), F.col("run.places").bitwiseAND((1 << 32) - 1).cast("int").alias("upto"), F.col("run.keys").alias("key")), "runs")
+    place = F.struct("id", "tk", "first")
+    heads = around.groupBy("h1", "h2", "key").agg(F.count("*").alias("n"), F.min(place).alias("head")).where("n > 1").drop("n")
+    later = around.join(heads, ["h1", "h2", "key"]).where(~place.eqNullSafe(F.col("head")))
+    return later.select(F.col("id").alias(doc_id), "tk", "first", "upto")
 
 
 def _remove(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:

@@ -70,28 +70,28 @@ def schedule(per: DataFrame, block: int) -> DataFrame:
     return ranked.unionByName(short.select((F.lit(n) + (F.col("rank") - F.col("had")) * F.col("sources") + F.col("sid")).alias("slot"), "sid", "rank"))
 
 
-def sized(docs: DataFrame, keys: list[str], source: str = "source", text: str = "text") -> DataFrame:
-    """keys, source, size and a row number that stays, written to the shared folder."""
-    own = docs.select(*[F.col(k) for k in dict.fromkeys(keys)], F.col(source).alias("source"), word_count(text).alias("size"))
+def sized(docs: DataFrame, keys: list[str], doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """keys (a struct), id, source, size and a row number that stays, written to the shared folder."""
+    own = docs.select(F.struct(*[F.col(k) for k in keys]).alias("keys"), F.col(doc_id).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"))
     return cut(own.withColumn("row", F.monotonically_increasing_id()), "sizes")
 
 
-def mix(rows: DataFrame, per: DataFrame, doc_id: str = "doc_id", block: int = 512) -> DataFrame:
+def mix(rows: DataFrame, per: DataFrame, block: int = 512) -> DataFrame:
     """The mix: slot, sid, block, row, epoch, word_from, word_to (half-open, within the document).
 
-    rows: doc_id, source, size, row; per: targets(rows). Each source's documents
+    rows: id, source, size, row; per: targets(rows). Each source's documents
     are put in the order of a hash and cut into blocks of `block` words, over as
     many epochs as its quota needs; block b goes to the slot of rank b. Running
     sums are within buckets of about 8,192 documents and then over buckets, so
     a source of any size is spread over many tasks. A document is taken once in
     each epoch, so never more than ceiling times. Documents without words are
     never taken; a null source is a source; the tie order of rows that repeat
-    doc_id and size doesn't show in the result.
+    id and size doesn't show in the result.
     """
     named = rows.where("size > 0").join(per.where("quota > 0").withColumnRenamed("source", "__of"), F.col("source").eqNullSafe(F.col("__of")))
-    h = F.xxhash64(F.col(doc_id), F.lit("mix"))
-    named = named.select("sid", "row", "size", "source_size", "quota", F.col(doc_id).alias("__id"), h.alias("h")).withColumn("bucket", F.pmod("h", F.lit(rows.count() // BUCKET + 1)))
-    by_hash = Window.partitionBy("sid", "bucket").orderBy("h", "__id", "size", "row")
+    h = F.xxhash64("id", F.lit("mix"))
+    named = named.select("sid", "row", "size", "source_size", "quota", "id", h.alias("h")).withColumn("bucket", F.pmod("h", F.lit(rows.count() // BUCKET + 1)))
+    by_hash = Window.partitionBy("sid", "bucket").orderBy("h", "id", "size", "row")
     named = named.withColumn("start", F.sum("size").over(by_hash.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     buckets = rows.where("size > 0").join(per.withColumnRenamed("source", "__of"), F.col("source").eqNullSafe(F.col("__of"))).groupBy("sid", F.pmod(h, F.lit(rows.count() // BUCKET + 1)).alias("bucket")).agg(F.sum("size").alias("words"))
     ahead = F.sum("words").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
@@ -104,11 +104,11 @@ def mix(rows: DataFrame, per: DataFrame, doc_id: str = "doc_id", block: int = 51
 
 def taken(docs: DataFrame, keys: list[str], doc_id: str = "doc_id", source: str = "source", text: str = "text", block: int = 512, **share) -> DataFrame:
     """keys, size, source_size, target, taken: one row per row of docs, also where nothing is taken."""
-    rows = sized(docs, [*keys, doc_id], source, text)
+    rows = sized(docs, keys, doc_id, source, text)
     per = cut(targets(rows, **share), "targets")
-    words = mix(rows, per, doc_id, block).groupBy("row").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
+    words = mix(rows, per, block).groupBy("row").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
     named = rows.join(per.withColumnRenamed("source", "__of"), F.col("source").eqNullSafe(F.col("__of")))
-    return named.join(words, "row", "left").select(*keys, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return named.join(words, "row", "left").select(*[F.col("keys").getField(k).alias(k) for k in keys], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", block: int = 512) -> DataFrame:

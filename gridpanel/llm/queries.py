@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mixing, simhash, toxicity
+from . import decontam, line_dedup, media, mixing, pii, simhash, tokens, toxicity, urls, warc
 from .common import table
 
 
@@ -13,24 +13,47 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among the pictures that the embeddings are drawn as; the tables hold no image of their own."""
+    return media.copies(media.rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lines and words deleted, and length and SHA-256 of the text that is left (of a null one: null)."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed=("lines_removed", "words_removed"))
     return out.select("doc_id", "lines_removed", "words_removed", F.length("text").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), ["doc_id"])
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_line_dedup, op6_toxicity, op8_decontamination, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_line_dedup, op4_tokens, op5_warc, op6_toxicity, op7_pii, op8_decontamination, op9_url_filter, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
