@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Texts go to Python workers in batches of so many bytes at most, which bounds what executor and worker hold.
+
+    The setting is the session's and stays, since frames run after they are made.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: the lineage ends there, and no executor holds the only copy."""
     path = new_path(df.sparkSession, name)
@@ -51,3 +61,11 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+
+
+def kept(kind: str, key: str, make):
+    """What a worker process made last for this kind, if it was made for the same key; so tasks of one worker share it."""
+    store = sys.modules.setdefault("_gridpanel_kept", types.ModuleType("_gridpanel_kept"))
+    if getattr(store, kind, (None,))[0] != key:
+        setattr(store, kind, (key, make()))
+    return getattr(store, kind)[1]

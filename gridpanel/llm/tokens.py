@@ -13,10 +13,9 @@ when they are first reached, as in a lazy regular-expression automaton.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-import sys
-import types
 import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
@@ -26,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept, small_batches
+
 #: The parts of a tokenizer file that the machines are written for.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SUFFIX = "</w>"
@@ -286,14 +287,6 @@ class Counter:
         return np.diff(total[np.r_[0, np.searchsorted(starts, upto)]]).tolist()
 
 
-def counter(key: str, data: tuple) -> Counter:
-    """The counter of a worker process, which keeps the last one that it compiled."""
-    kept = sys.modules.setdefault("_gridpanel_kept", types.ModuleType("_gridpanel_kept"))
-    if getattr(kept, "tokens", (None,))[0] != key:
-        kept.tokens = (key, Counter(data))
-    return kept.tokens[1]
-
-
 def count_tokens(docs: DataFrame, path: str, keys: list[str], text: str = "text", limit: int = 2048) -> DataFrame:
     """keys, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit): one row per row of docs.
 
@@ -301,8 +294,7 @@ def count_tokens(docs: DataFrame, path: str, keys: list[str], text: str = "text"
     padding; its special strings count as one token where they stand in a text.
     Null texts are empty ones, with 0 bytes and 0 tokens.
     """
-    import hashlib
-
+    small_batches(docs.sparkSession)
     data = compiled(path)
     digest = hashlib.sha256(repr((path, data[1:])).encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(data)
@@ -310,7 +302,7 @@ def count_tokens(docs: DataFrame, path: str, keys: list[str], text: str = "text"
     schema = own.drop("__t").schema.add("n_tokens", "long").add("over_limit", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_counter = counter(digest, shared.value)
+        own_counter = kept("tokens", digest, lambda: Counter(shared.value))
         for batch in batches:
             n = np.array(own_counter.counts(batch.column(len(keys) + 1).to_pylist()), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 1], pa.array(n), pa.array(n > limit)], names=schema.names)
