@@ -415,7 +415,7 @@ def test_rendered_vectors(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0, 2.0, 3.0]), (2, None), (3, []), (4, [None, float("nan")])], "vec_id long, embedding array<float>")
     rows = {r["image_id"]: r["image"] for r in media.rendered(df).collect()}
     assert rows[2] is None and rows[3] is None
-    assert media.decode(bytes(rows[1])).shape == (64, 64) and media.decode(bytes(rows[4])).shape == (64, 64)
+    assert media.decode(bytes(rows[1])).shape == (48, 48) and media.decode(bytes(rows[4])).shape == (48, 48)
 
 
 def test_shared_folder(spark):
