@@ -1,0 +1,52 @@
+"""The registered queries: names, columns, SQL, and the pipeline."""
+
+import oracle
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from gridpanel.llm import queries
+from gridpanel.llm.common import table
+
+COLUMNS = {
+    "op1_mixing": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op4_tokens": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
+    "op5_warc": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"},
+    "op6_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op7_pii": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+    "op9_url_filter": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
+    "op10_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
+}
+
+
+def test_registered():
+    names = [n.split("_")[0] for n in entry.queries() if n.startswith("op")]
+    assert names == [f"op{i}" for i in range(1, 11)] and entry.queries()["pipeline"] is corpus_pipeline.run
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_columns_and_rows(spark, small, name):
+    df = queries.QUERIES[name](spark, small)
+    assert COLUMNS.get(name, {}).items() <= dict(df.dtypes).items()
+    keys = {"page_id": "pages", "doc_id": "documents", "image_id": "embeddings"}
+    if name != "op8_decontamination":
+        assert df.count() == table(spark, small, keys[df.columns[0]]).count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, medium, name):
+    assert oracle.compared(spark, oracle.connect(medium), queries.QUERIES[name], queries.ORACLE_SQL[name], medium) is None
+
+
+def test_pipeline(spark, small):
+    docs = table(spark, small, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, small)
+        assert kept.columns == docs.columns, name
+        ids, before = [r["doc_id"] for r in kept.select("doc_id").collect()], {r["doc_id"] for r in docs.select("doc_id").collect()}
+        assert len(set(ids)) == len(ids) and set(ids) <= before and len(ids) > 0.5 * len(before), name
+    out = corpus_pipeline.run(spark, small)
+    assert out.columns[: len(docs.columns)] == docs.columns and out.count() > 50
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, small).count() == 0, name
