@@ -9,6 +9,7 @@ windows that a document is judged by falls from all to its single top window.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from array import array
@@ -21,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import kept, small_batches
+
 TOKEN = re.compile(r"\w+")
-BUCKETS, DIM, SHORT, LONG, SPAN = 1 << 16, 8, 3, 6, 5
+BUCKETS, DIM, SHORT, LONG, SPAN = 1 << 16, 8, 3, 5, 5
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """The bounded sample that the model is fitted on: rows of each label, in the order of a hash, of at most max_chars letters."""
+    """The bounded sample that the model is fitted on: ids of each label, in the order of a hash, with texts of at most max_chars letters."""
 
     toxic: int = 2000
     clean: int = 3000
@@ -36,7 +39,7 @@ class Bounds:
 
 def subwords(word: str) -> list[int]:
     w = f"<{word[:64]}>"
-    grams = {w, *(w[i : i + n] for n in range(SHORT, LONG + 1) for i in range(len(w) - n + 1))}
+    grams = {w, *[w[i : i + n] for n in range(SHORT, LONG + 1) for i in range(len(w) - n + 1)]}
     return sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams})
 
 
@@ -57,21 +60,20 @@ class Model:
 
     def __init__(self, weight: np.ndarray, slope: float, offset: float):
         self.weight, self.slope, self.offset = weight.astype(np.float32), float(slope), float(offset)
+        self.memo: dict[str, float] = {}
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
-        memo: dict[str, float] = {}
+        memo, weight = self.memo, self.weight.tolist()
         out = np.zeros(len(texts))
         for i, text in enumerate(texts):
             seen = words(text)
-            for w in seen:
-                if w not in memo:
-                    memo[w] = float(self.weight[subwords(w)].mean())
-            if seen:
-                out[i] = _windows(np.fromiter((memo[w] for w in seen), np.float64, len(seen))).max()
-            else:
-                out[i] = np.nan
-            if len(memo) > 400_000:
+            if len(memo) > 600_000:
                 memo.clear()
+            for w in {*seen}:
+                if w not in memo:
+                    bag = subwords(w)
+                    memo[w] = sum([weight[g] for g in bag]) / len(bag)
+            out[i] = _windows(np.fromiter(map(memo.__getitem__, seen), np.float64, len(seen))).max() if seen else np.nan
         return out
 
     def probability(self, margins: np.ndarray) -> np.ndarray:
@@ -80,8 +82,8 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = 16, batch: int = 256, seed: int = 7) -> Model:
-    """Fit embeddings and softmax by Adagrad; a tenth of the rows sets slope and offset so that 0.5 is the best F1."""
+def train(texts: list[str | None], labels: list[int], epochs: int = 16, batch: int = 128, seed: int = 7) -> Model:
+    """Fit embeddings and softmax by Adagrad; a fifth of the rows sets slope and offset so that 0.5 is the best F1."""
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
     flat, size = array("i"), array("i")  # the bags of all different words, one after the other
@@ -106,11 +108,11 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 16, batch: i
     del number
     flat, size = np.array(flat, dtype=np.int32), np.array(size, dtype=np.int64)
     at = np.cumsum(size) - size
-    emb = rng.normal(0, 0.1, (BUCKETS, DIM))
+    emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.1, (DIM, 2))
     bias = np.zeros(2)
     g_emb, g_soft, g_bias = np.full(BUCKETS, 1e-3), np.full((DIM, 2), 1e-3), np.full(2, 1e-3)
-    held = np.arange(len(ids)) % 10 == 9 if len(ids) >= 200 else np.zeros(len(ids), bool)
+    held = np.arange(len(ids)) % 5 == 4 if len(ids) >= 200 else np.zeros(len(ids), bool)
     rows = np.flatnonzero(~held)
     balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     for epoch in range(epochs):
@@ -172,14 +174,16 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 16, batch: i
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """The bounded sample: of each label the first rows by a hash of doc_id, whole texts of at most max_chars letters.
+    """The bounded sample: of each label the first ids by a hash, and of these the whole texts of at most max_chars letters.
 
-    Rows whose crc32(doc_id as text) mod 5 is 0 are held out and never here.
+    The ids are chosen from the labels alone and are toxic + clean at most, which
+    is the bound of what is broadcast; texts are never shuffled. Rows whose crc32(doc_id as text) mod 5 is 0 are held out and never here.
     """
-    marked = labels.where(F.col(label).isin(0, 1) & ~is_held_out(doc_id)).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
+    marked = labels.where(F.col(label).isin(0, 1) & ~is_held_out(doc_id)).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y")).withColumn("__order", F.xxhash64("__id"))
+    first = lambda y, n: marked.where(F.col("__y") == y).orderBy("__order", "__id").limit(n)
+    chosen = first(1, bounds.toxic).unionByName(first(0, bounds.clean))
     rows = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).where(F.length("__text") <= bounds.max_chars)
-    rows = rows.join(marked, F.col("__doc") == F.col("__id")).select("__y", "__text", F.xxhash64("__doc").alias("__order"))
-    return rows.where("__y = 1").orderBy("__order").limit(bounds.toxic).unionByName(rows.where("__y = 0").orderBy("__order").limit(bounds.clean))
+    return rows.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("__y", "__text", "__order")
 
 
 def is_held_out(doc_id: str):
@@ -187,19 +191,28 @@ def is_held_out(doc_id: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    rows = training_rows(docs, labels, bounds, doc_id, text, label).collect()
-    rows.sort(key=lambda r: (r["__order"], r["__text"]))
-    return train([r["__text"] for r in rows], [r["__y"] for r in rows])
+    """Train on the bounded sample in one task, which Spark repeats elsewhere if its executor is lost; the driver gets the weights alone."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in (2, 1, 0))))
+        model = train([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()]), pa.array([model.slope]), pa.array([model.offset])], names=["weight", "slope", "offset"])
+
+    found = training_rows(docs, labels, bounds, doc_id, text, label).repartition(1).mapInArrow(run, "weight binary, slope double, offset double").collect()
+    return Model(np.frombuffer(found[0]["weight"], dtype=np.float32), found[0]["slope"], found[0]["offset"]) if found else train([], [])
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the column out: 0 to 1, higher for likelier toxic, from the whole text alone; null and empty texts get the lowest score."""
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
     at = docs.columns.index(text)
+    small_batches(docs.sparkSession)
+    name = hashlib.sha256(repr((model.weight.tobytes(), model.slope, model.offset)).encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.slope, model.offset))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
+        own = kept("toxicity", name, lambda: Model(*shared.value))
         for batch in batches:
             got = own.probability(own.margins(batch.column(at).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=schema.names)
