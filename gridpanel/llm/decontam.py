@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -12,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import kept, small_batches
+
 TOKEN = re.compile(r"\w+")
 #: Words of the shortest tile, and the share of an item's words that tiles cover in a contaminated text.
 SHORTEST, COVERAGE = 3, 0.8
 #: Letters of benchmark texts that one pass holds in a worker; a larger benchmark takes more passes.
-PASS_LETTERS = 4_000_000
+PASS_LETTERS = 16_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,40 +89,43 @@ def tile(item: np.ndarray, text: np.ndarray, shortest: int = SHORTEST) -> list[t
 
 
 class Bench:
-    """One pass's benchmark items, with their runs of `shortest` tokens as seeds."""
+    """One pass's benchmark items, with their runs of `shortest` tokens as seeds: sorted hashes, and the items of each in one array."""
 
     def __init__(self, items: list[tuple], shortest: int = SHORTEST):
         self.number: dict[str, int] = {}
-        self.shortest, self.items, seeds = shortest, [], defaultdict(set)
+        self.shortest, self.items, self.distinct = shortest, [], []
+        hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for item_id, text in items:
-            ids = np.array([self.number.setdefault(w, len(self.number)) for w in tokens(text)], dtype=np.int64)
+            ids = np.array([self.number.setdefault(w, len(self.number)) for w in tokens(text)], dtype=np.int32)
             if not len(ids):
                 continue
-            k = len(self.items)
+            own = np.unique(_rolling(ids, shortest)) if len(ids) >= shortest else hashes[0][:0]
+            hashes.append(own)
+            owners.append(np.full(len(own), len(self.items)))
             self.items.append((item_id, ids))
-            for h in _rolling(ids, shortest).tolist() if len(ids) >= shortest else ():
-                seeds[h].add(k)
-        self.keys = np.array(sorted(seeds), dtype=np.uint64)
-        self.of = [sorted(seeds[h]) for h in self.keys.tolist()]
+            self.distinct.append(len(own))
+        hashes, owners = np.concatenate(hashes), np.concatenate(owners)
+        order = np.argsort(hashes, kind="stable")
+        self.keys, first = np.unique(hashes[order], return_index=True)
+        self.owners, self.edge = owners[order], np.append(first, len(order))
 
     def found(self, text: str | None, coverage: float) -> list[tuple]:
         """(item_id, share covered, tiles, words of the longest) of the items that the text covers that far."""
         words = tokens(text)
-        ids = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+        ids = np.fromiter((self.number.get(w, -1) for w in words), np.int32, len(words))
         if len(ids) < self.shortest or not len(self.keys):
             return []
         h = _rolling(ids, self.shortest)
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hits: dict[int, int] = defaultdict(int)
-        for seed in np.unique(at[self.keys[at] == h]).tolist():
-            for k in self.of[seed]:
-                hits[k] += 1
+        seeds = np.unique(at[self.keys[at] == h])
+        if not len(seeds):
+            return []
+        hits, counts = np.unique(np.concatenate([self.owners[self.edge[s] : self.edge[s + 1]] for s in seeds.tolist()]), return_counts=True)
         out = []
-        for k, n in sorted(hits.items()):
+        for k, n in zip(hits.tolist(), counts.tolist()):
             item_id, item = self.items[k]
-            distinct = len(np.unique(_rolling(item, self.shortest)))
-            # tiles that cover enough hold this many seeds at least, less what repeats within the item
-            if n < coverage * len(item) / (2 * self.shortest - 1) - (len(item) - self.shortest + 1 - distinct):
+            # tiles that cover enough hold a seed for every (2 * shortest - 1) tokens at least, less what repeats within the item
+            if n < coverage * len(item) / (2 * self.shortest - 1) - (len(item) - self.shortest + 1 - self.distinct[k]):
                 continue
             tiles = tile(item, ids, self.shortest)
             share = sum(t[2] for t in tiles) / len(item)
@@ -153,22 +159,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__t"))
     item = T.StructField("item_id", benchmark.schema[item_id].dataType)
     schema = T.StructType([*own.schema.fields[:-1], item, T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.LongType()), T.StructField("longest", T.LongType())])
+    small_batches(docs.sparkSession)
     context, out = docs.sparkSession.sparkContext, None
     for part in _passes(benchmark, item_id, item_text, letters):
-        shared = context.broadcast(part)
+        shared, key = context.broadcast(part), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Bench(shared.value, shortest)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            bench = kept("bench", key, lambda: Bench(shared.value, shortest))
             for batch in batches:
                 where, rows = [], []
                 for i, t in enumerate(batch.column(len(keep))):
                     for hit in bench.found(t.as_py(), coverage):
                         where.append(i)
                         rows.append(hit)
-                kept = batch.select(list(range(len(keep)))).take(pa.array(where, pa.int64())) if len(keep) else None
-                columns = [*kept.columns, *(pa.array([r[k] for r in rows]) for k in range(4))] if rows else None
-                if columns:
-                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                if rows:
+                    own_columns = batch.select(list(range(len(keep)))).take(pa.array(where, pa.int64())).columns
+                    yield pa.RecordBatch.from_arrays([*own_columns, *(pa.array([r[k] for r in rows]) for k in range(4))], names=schema.names)
 
         found = own.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
@@ -179,12 +185,13 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """docs without the rows of which an item is contained that far; null and empty texts stay."""
     out = docs
     at = docs.columns.index(text)
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     for part in _passes(benchmark, item_id, item_text, letters):
-        shared = context.broadcast(part)
+        shared, key = context.broadcast(part), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Bench(shared.value, shortest)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            bench = kept("bench", key, lambda: Bench(shared.value, shortest))
             for batch in batches:
                 clean = [not bench.found(t.as_py(), coverage) for t in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
