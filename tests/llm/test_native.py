@@ -123,3 +123,13 @@ def test_pii_odd_texts(spark):
 def test_pii_is_native(spark, small):
     plan = pii.report(table(spark, small, "documents"), ["doc_id"])._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_mixed_documents(spark):
+    rows = [(i, f"a{i} b c d", "x", f"s{i % 3}", 0, 1, 1, "t", "u") for i in range(30)] + [(3, "a3 b c d", "x", "s0", 0, 1, 1, "t", "u"), (None, "p q r", None, None, 0, 1, 1, "t", "u"), (77, None, "x", "s1", 0, 1, 1, "t", "u")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns + ["mix_size", "mix_source_size", "mix_target", "mix_taken"]
+    got = out.collect()
+    assert all(0 < r["mix_taken"] <= 2 * r["mix_size"] for r in got) and 77 not in {r["doc_id"] for r in got}
+    assert any(r["doc_id"] is None for r in got)
