@@ -57,6 +57,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_line_dedup, op4_tokens, op5_warc, op6_toxicity, op7_pii, op8_decontamination, op9_url_filter, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": r"""WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+a AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS line FROM raw WHERE text IS NOT NULL),
+w AS (SELECT doc_id, n, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM a),
+l AS (SELECT doc_id, n, line, array_to_string(ws, ' ') AS w, len(ws) AS c, row_number() OVER d AS k, sum(len(ws)) OVER (d ROWS UNBOUNDED PRECEDING) AS upto FROM w WHERE len(ws) > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY n)),
+r AS (SELECT a.doc_id, a.k AS p, b.k AS q FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.c >= 50 AND b.upto - b.c - a.upto + a.c < 50
+  UNION SELECT b.doc_id, a.k, b.k FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.c >= 50 AND b.upto - a.upto < 50),
+t AS (SELECT r.doc_id, p, q, string_agg(w, chr(10) ORDER BY k) AS content FROM r JOIN l ON l.doc_id = r.doc_id AND l.k BETWEEN p AND q GROUP BY 1, 2, 3),
+f AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, p) AS nth FROM t),
+g AS (SELECT DISTINCT l.doc_id, l.n FROM f JOIN l ON l.doc_id = f.doc_id AND l.k BETWEEN p AND q WHERE nth > 1),
+s AS (SELECT w.doc_id, count(g.n) AS lines_removed, coalesce(sum(CASE WHEN g.n IS NOT NULL THEN len(ws) END), 0) AS words_removed, coalesce(string_agg(CASE WHEN g.n IS NULL THEN line END, chr(10) ORDER BY w.n), '') AS left_text FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.n = w.n GROUP BY 1)
+SELECT raw.doc_id, coalesce(lines_removed, 0) AS lines_removed, CAST(coalesce(words_removed, 0) AS BIGINT) AS words_removed, CAST(length(left_text) AS INT) AS chars_left, sha256(left_text) AS text_sha256 FROM raw LEFT JOIN s USING (doc_id)""",
     "op5_warc": """WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT payload_digest, max(page_id) AS m FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
 SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m <> page_id THEN m END AS refers_to
