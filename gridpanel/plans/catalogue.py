@@ -579,3 +579,24 @@ def q47_boxes_meeting(spark, sf_dir):
 @query("""SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 100""")
 def q48_top_frequent(spark, sf_dir):
     return composite.top_frequent(read(spark, sf_dir, "orders"), "o_custkey", 100)
+
+
+@query(f"""WITH c AS ({_COARSE}), j AS (SELECT a.px, a.py, b.v, abs(b.v - a.v) <= abs(a.v) AS inside, abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1 AS next FROM c a JOIN c b ON abs(a.px - b.px) <= 2 AND abs(a.py - b.py) <= 2)
+SELECT px, py, round(CASE WHEN count_if(inside) >= 4 THEN avg(CASE WHEN inside THEN v END) ELSE avg(CASE WHEN next THEN v END) END, 6) AS v FROM j GROUP BY 1, 2""")
+def q49_sigma_filter(spark, sf_dir):
+    return rounded(grid.sigma_filter(_coarse(spark, sf_dir), "v", radius=2, looks=4.0).select("px", "py", "v"), ["v"])
+
+
+@query("""WITH b AS (SELECT n_name AS gid, n_nationkey % 5 AS i, n_nationkey // 5 AS j FROM nation)
+SELECT gid, CAST(i * 16 + 4 * x AS DOUBLE) + 2 AS lon, CAST(j * 16 + 16 - 4 * y AS DOUBLE) - 2 AS lat FROM b, (SELECT unnest(range(4)) AS x) p, (SELECT unnest(range(4)) AS y) q""")
+def q50_grid_points(spark, sf_dir):
+    boxes = spatial.with_box(_boxes(spark, sf_dir)).select("gid", "west", "south", "east", "north")
+    return grid.grid_points(boxes, 4.0, ["gid"]).select("gid", "lon", "lat")
+
+
+@query("""WITH e AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type, value FROM events) SELECT week, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY 1, 2""")
+def q51_weekly_windows(spark, sf_dir):
+    """The batch form of the stream's windows: seven days from Mondays."""
+    e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = e.groupBy(F.window("ts", "7 days", startTime="4 days").alias("w"), "event_type").agg(F.count("*").alias("n"), r6(F.sum("value"), 4).alias("total"))
+    return out.select(F.to_date("w.start").alias("week"), "event_type", "n", "total")
