@@ -59,3 +59,42 @@ def spatial_lag(df: DataFrame, weights: DataFrame, key: str, value: str, out: st
 def sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """n rows by the hash of a key: the same ones every time."""
     return df.orderBy(F.xxhash64(key), key).limit(n)
+
+
+def spatial_fit(df: DataFrame, weights: DataFrame, key: str, y: str, columns: list[str], kind: str = "lag", bound: int = 3000) -> DataFrame:
+    """term, coefficient: a spatial lag or spatial error model by maximum likelihood; the term rho is the spatial one.
+
+    weights has key, neighbour, weight with rows that sum to 1. The likelihood
+    needs the determinant of a rows x rows matrix, so more than `bound` rows are
+    refused; take a sample() first. Rows with a null are left out with their weights.
+    """
+    if kind not in ("lag", "error"):
+        raise ValueError(kind)
+    rows = df.dropna("any", subset=[key, y, *columns]).select(key, y, *columns).orderBy(key).limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"spatial models are for {bound} rows at most")
+    place = {r[0]: i for i, r in enumerate(rows)}
+    n = len(rows)
+    w = np.zeros((n, n))
+    kept = weights.join(F.broadcast(df.sparkSession.createDataFrame([(k,) for k in place], f"{key} {df.schema[key].dataType.simpleString()}")), key)
+    for r in kept.select(key, "neighbour", "weight").toLocalIterator():
+        if r["neighbour"] in place:
+            w[place[r[key]], place[r["neighbour"]]] += r["weight"]
+    t = np.array([float(r[1]) for r in rows])
+    x = np.column_stack([np.ones(n), *[[float(r[2 + j]) for r in rows] for j in range(len(columns))]])
+    values = np.linalg.eigvals(w)
+    wt, wx = w @ t, w @ x
+
+    def at(rho: float) -> tuple[float, np.ndarray]:
+        a, b = (t - rho * wt, x) if kind == "lag" else (t - rho * wt, x - rho * wx)
+        beta = np.linalg.lstsq(b, a, rcond=None)[0]
+        e = a - b @ beta
+        return float(np.log(np.abs(1 - rho * values)).sum() - n / 2 * np.log(e @ e / n)), beta
+
+    low, high, step = -0.99, 0.99, (5**0.5 - 1) / 2
+    while high - low > 1e-7:  # golden section over the concentrated likelihood
+        p, q = high - step * (high - low), low + step * (high - low)
+        low, high = (low, q) if at(p)[0] > at(q)[0] else (p, high)
+    rho = (low + high) / 2
+    out = [("rho", rho), *zip(["const", *columns], map(float, at(rho)[1]))]
+    return df.sparkSession.createDataFrame(out, "term string, coefficient double")

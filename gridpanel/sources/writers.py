@@ -54,3 +54,11 @@ def manifest(spark: SparkSession, inputs: list[str], output: str, settings: dict
     row = lambda r: {"name": r["name"], "bytes": r["bytes"], "sha256": r["sha256"]}
     listed = lambda p: [row(r) for r in hashes(spark, p).orderBy("path").toLocalIterator()]
     return json.dumps({"settings": settings, "inputs": [x for p in inputs for x in listed(p)], "outputs": listed(output)}, indent=2, sort_keys=True)
+
+
+def write_stata(df: DataFrame, path: str, bound: int = 1_000_000) -> None:
+    """A Stata 118 file on the driver, so for bounded tables only; more rows than that are refused."""
+    rows = df.limit(bound + 1).toPandas()
+    if len(rows) > bound:
+        raise ValueError(f"Stata files are for {bound} rows at most")
+    rows.to_stata(path, write_index=False, version=118)

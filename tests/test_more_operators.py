@@ -95,3 +95,28 @@ def test_lookup_order(spark):
     assert [tuple(r) for r in ingest.lookup(df).collect()] == [(1.0, 5.0, "a", "X"), (2.0, 1.0, "b", "X")]
     with pytest.raises(ValueError):
         spatial.nearest_neighbours(spark.range(10).select("id", F.array(F.lit(1.0)).alias("v")), "id", "v", 2, bounded=5)
+
+
+@pytest.mark.parametrize("kind", ["lag", "error"])
+def test_spatial_models(spark, kind):
+    import numpy as np
+
+    rng, n = np.random.default_rng(4), 400
+    w = np.zeros((n, n))
+    for i in range(n):
+        w[i, [(i - 1) % n, (i + 1) % n, (i + 20) % n, (i - 20) % n]] = 0.25
+    x, e, spread = rng.normal(size=n), rng.normal(size=n) * 0.3, np.linalg.inv(np.eye(n) - 0.6 * w)
+    y = spread @ (1 + 2 * x + e) if kind == "lag" else 1 + 2 * x + spread @ e
+    df = spark.createDataFrame([(i, float(y[i]), float(x[i])) for i in range(n)], "id long, y double, x double")
+    weights = spark.createDataFrame([(int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(w))], "id long, neighbour long, weight double")
+    got = {r["term"]: r["coefficient"] for r in regress.spatial_fit(df, weights, "id", "y", ["x"], kind).collect()}
+    assert got["rho"] == pytest.approx(0.6, abs=0.12) and got["x"] == pytest.approx(2, abs=0.1)
+    with pytest.raises(ValueError):
+        regress.spatial_fit(df, weights, "id", "y", ["x"], kind, bound=10)
+
+
+def test_stata(spark, tmp_path):
+    import pandas as pd
+
+    writers.write_stata(spark.range(3).selectExpr("cast(id as int) as a", "'é' as b"), f"{tmp_path}/a.dta")
+    assert pd.read_stata(f"{tmp_path}/a.dta")["a"].tolist() == [0, 1, 2]
