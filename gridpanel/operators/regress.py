@@ -83,13 +83,18 @@ def spatial_fit(df: DataFrame, weights: DataFrame, key: str, y: str, columns: li
     t = np.array([float(r[1]) for r in rows])
     x = np.column_stack([np.ones(n), *[[float(r[2 + j]) for r in rows] for j in range(len(columns))]])
     values = np.linalg.eigvals(w)
-    wt, wx = w @ t, w @ x
+    k = x.shape[1]
+    both = np.column_stack([t, w @ t, x, w @ x])
+    cross = both.T @ both  # all that the likelihood needs of the rows
 
     def at(rho: float) -> tuple[float, np.ndarray]:
-        a, b = (t - rho * wt, x) if kind == "lag" else (t - rho * wt, x - rho * wx)
-        beta = np.linalg.lstsq(b, a, rcond=None)[0]
-        e = a - b @ beta
-        return float(np.log(np.abs(1 - rho * values)).sum() - n / 2 * np.log(e @ e / n)), beta
+        turn = np.zeros((2 + 2 * k, 1 + k))  # the columns y - rho W y, and X or X - rho W X
+        turn[0, 0], turn[1, 0] = 1, -rho
+        turn[2 : 2 + k, 1:] = np.eye(k)
+        turn[2 + k :, 1:] = -rho * np.eye(k) * (kind == "error")
+        c = turn.T @ cross @ turn
+        beta = np.linalg.solve(c[1:, 1:], c[1:, 0])
+        return float(np.log(np.abs(1 - rho * values)).sum() - n / 2 * np.log((c[0, 0] - beta @ c[1:, 0]) / n)), beta
 
     low, high, step = -0.99, 0.99, (5**0.5 - 1) / 2
     while high - low > 1e-7:  # golden section over the concentrated likelihood
