@@ -52,6 +52,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys of which some may hold a large share of left's rows, where right is an aggregate by the same keys.
+
+    Joined on the keys alone, right would keep the partitioning of its aggregate,
+    and adaptive execution couldn't split a hot key's rows. A hash of the keys as a
+    further key makes Spark shuffle both sides for the join, which it can split.
+    """
+    mark = F.xxhash64(*keys)
+    return left.withColumn("__hot", mark).join(right.withColumn("__hot", mark), [*keys, "__hot"], how).drop("__hot")
+
+
 def discard(df: DataFrame) -> None:
     """Delete what cut() wrote for df; call it only when nothing reads df any more."""
     path = getattr(df, "_gp_path", None)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, join_hot, small_batches
 
 #: Words that a repeated run has at least, and words that a fingerprinted run of lines has at least.
 RUN_WORDS, GRAM_WORDS = 50, 20
@@ -109,11 +109,11 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_wor
     keyed = docs.select(doc_id, text, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__gp_text"))
     found = cut(fingerprints(keyed, doc_id, text, run_words, gram_words), "fingerprints")
     often = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    around = found.join(often, ["h1", "h2"]).select(F.col(doc_id).alias("id"), "tk", "h1", "h2", F.explode(F.arrays_zip("places", "keys")).alias("run"))
+    around = join_hot(found, often, ["h1", "h2"]).select(F.col(doc_id).alias("id"), "tk", "h1", "h2", F.explode(F.arrays_zip("places", "keys")).alias("run"))
     around = cut(around.select("id", "tk", "h1", "h2", F.shiftright("run.places", 32).cast("int").alias("first"), F.col("run.places").bitwiseAND((1 << 32) - 1).cast("int").alias("upto"), F.col("run.keys").alias("key")), "runs")
     place = F.struct("id", "tk", "first")
     heads = around.groupBy("h1", "h2", "key").agg(F.count("*").alias("n"), F.min(place).alias("head")).where("n > 1").drop("n")
-    later = around.join(heads, ["h1", "h2", "key"]).where(~place.eqNullSafe(F.col("head")))
+    later = join_hot(around, heads, ["h1", "h2", "key"]).where(~place.eqNullSafe(F.col("head")))
     return later.select(F.col("id").alias(doc_id), "tk", "first", "upto")
 
 
@@ -137,6 +137,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run
     is wholly repeated becomes empty, a null text stays null, and rows that
     repeat both doc_id and text count as one document.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.withColumn("__gp_text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     spans = repeats(docs, doc_id, text, run_words, gram_words).groupBy(F.col(doc_id).alias("__gp_id"), F.col("tk").alias("__gp_of")).agg(F.collect_set(F.struct("first", "upto")).alias("__gp_spans"))
     joined = keyed.join(spans, F.col("__gp_text").eqNullSafe(F.col("__gp_of")) & keyed[doc_id].eqNullSafe(spans["__gp_id"]), "left")
