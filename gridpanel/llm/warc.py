@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import join_hot, new_path
 
 #: Bytes from which on an equal payload is a revisit; records in an archive at most.
 REVISIT_BYTES, RECORDS = 1000, 2000
@@ -37,7 +37,8 @@ def decided(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     same = rows.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("__digest"))
     same = same.agg(F.count("*").alias("__n"), F.max(F.struct("page_id", "url")).alias("original")).where("__n > 1").drop("__n")
-    rows = rows.join(same, F.when(F.col("payload_bytes") >= least_bytes, F.col("payload_digest")) == F.col("__digest"), "left").drop("__digest")
+    rows = rows.withColumn("__digest", F.when(F.col("payload_bytes") >= least_bytes, F.col("payload_digest")))
+    rows = join_hot(rows, same, ["__digest"], "left").drop("__digest")
     again = F.col("original").isNotNull() & ~F.col("original.page_id").eqNullSafe(F.col("page_id"))
     return rows.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("original", F.when(again, F.col("original")))
 
@@ -162,8 +163,8 @@ TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.strin
 def resolved(found: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
     """read() rows with refers_to: for a revisit the page_id of the response with its payload, else null."""
     origin = found.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least_bytes)).groupBy(F.col("payload_digest").alias("__digest")).agg(F.max("page_id").alias("__page"))
-    key = F.when(F.col("record_type") == "revisit", F.col("payload_digest"))
-    return found.join(origin, key == F.col("__digest"), "left").withColumn("refers_to", F.col("__page")).drop("__digest", "__page")
+    keyed = found.withColumn("__digest", F.when(F.col("record_type") == "revisit", F.col("payload_digest")))
+    return join_hot(keyed, origin, ["__digest"], "left").withColumn("refers_to", F.col("__page")).drop("__digest", "__page")
 
 
 def archive(pages: DataFrame, path: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = REVISIT_BYTES) -> DataFrame:
