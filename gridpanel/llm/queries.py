@@ -14,8 +14,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies among the pictures that the embeddings are drawn as; the tables hold no image of their own."""
-    return media.copies(media.rendered(table(spark, sf_dir, "embeddings")))
+    """Copies among the pictures that the embeddings are drawn as, the tables holding no image of their own.
+
+    The picture table is every embedding's picture and, as copies to be found,
+    three edits of each picture whose id is divisible by 100.
+    """
+    return media.copies(media.with_edits(media.rendered(table(spark, sf_dir, "embeddings"))), keep=("edit",))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

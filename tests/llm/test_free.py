@@ -405,6 +405,14 @@ def test_copies(spark):
     assert media.copies(df.limit(0)).collect() == []
 
 
+def test_edits_of_whole_table_are_found(spark, medium):
+    rows = media.copies(media.with_edits(media.rendered(table(spark, medium, "embeddings")), every=10), keep=("edit",)).collect()
+    assert len(rows) == 500 + 3 * 50
+    edits = [r for r in rows if r["edit"] != "original"]
+    assert sum(r["class_id"] == r["image_id"] for r in edits) >= 0.9 * len(edits)
+    assert all(r["class_id"] == r["image_id"] for r in rows if r["edit"] == "original")
+
+
 def test_decoders():
     a = np.rint(picture(3, 40))
     assert (media.decode(pgm(a)) == a).all() and (media.decode(png(a)) == a).all()
@@ -415,7 +423,7 @@ def test_rendered_vectors(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0, 2.0, 3.0]), (2, None), (3, []), (4, [None, float("nan")])], "vec_id long, embedding array<float>")
     rows = {r["image_id"]: r["image"] for r in media.rendered(df).collect()}
     assert rows[2] is None and rows[3] is None
-    assert media.decode(bytes(rows[1])).shape == (48, 48) and media.decode(bytes(rows[4])).shape == (48, 48)
+    assert media.decode(bytes(rows[1])).shape == (64, 64) and media.decode(bytes(rows[4])).shape == (64, 64)
 
 
 def test_shared_folder(spark):

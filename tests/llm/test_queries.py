@@ -29,7 +29,7 @@ def test_columns_and_rows(spark, small, name):
     df = queries.QUERIES[name](spark, small)
     assert COLUMNS.get(name, {}).items() <= dict(df.dtypes).items()
     keys = {"page_id": "pages", "doc_id": "documents", "image_id": "embeddings"}
-    if name != "op8_decontamination":
+    if name not in ("op2_media", "op8_decontamination"):
         assert df.count() == table(spark, small, keys[df.columns[0]]).count()
 
 
