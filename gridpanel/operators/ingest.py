@@ -62,10 +62,13 @@ def dedup_exact(df: DataFrame, columns: list[str], order: list[str], policy: str
     if policy not in ("drop", "keep", "error"):
         raise ValueError(policy)
     out = df.withColumn("signature", signature(columns))
+    if policy == "drop":  # an aggregate, so that a row repeated any number of times is reduced before the shuffle
+        first = out.groupBy("signature").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order)).alias("__row"))
+        return first.select("__row.*", "signature", F.lit(0).alias("duplicate"))
     out = out.withColumn("duplicate", F.row_number().over(Window.partitionBy("signature").orderBy(*order)) - 1)
     if policy == "error":
         return out.withColumn("duplicate", F.when(F.col("duplicate") > 0, F.raise_error(F.lit("a row is repeated")).cast("int")).otherwise(0))
-    return out.where("duplicate = 0") if policy == "drop" else out
+    return out
 
 
 def prepared(raw: DataFrame, regions: DataFrame, start: str, end: str, order: list[str], duplicates: str = "drop", ambiguous: str = "first", unassigned: str = "keep") -> DataFrame:
