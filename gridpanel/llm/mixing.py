@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut
 
 #: Documents that share a running sum, slots that share a rank, and cells of the unit interval in the lookup of sources.
-BUCKET, CHUNK, CELLS = 2048, 1024, 4096
+BUCKET, CHUNK, CELLS = 1024, 1024, 4096
 #: The golden ratio's fraction.
 GOLDEN = 0.6180339887498949
 
@@ -82,7 +82,7 @@ def mix(rows: DataFrame, per: DataFrame, block: int = 512) -> DataFrame:
     rows: id, source, size, row; per: targets(rows). Each source's documents
     are put in the order of a hash and cut into blocks of `block` words, over as
     many epochs as its quota needs; block b goes to the slot of rank b. Running
-    sums are within buckets of about 2,048 documents and then over buckets, so
+    sums are within buckets of about 1,024 documents and then over buckets, so
     a source of any size is spread over many tasks. A document is taken once in
     each epoch, so never more than ceiling times. Documents without words are
     never taken; a null source is a source; the tie order of rows that repeat
