@@ -89,11 +89,12 @@ def mix(rows: DataFrame, per: DataFrame, block: int = 512) -> DataFrame:
     id and size doesn't show in the result.
     """
     named = rows.where("size > 0").join(per.where("quota > 0").withColumnRenamed("source", "__of"), F.col("source").eqNullSafe(F.col("__of")))
-    h = F.xxhash64("id", F.lit("mix"))
-    named = named.select("sid", "row", "size", "source_size", "quota", "id", h.alias("h")).withColumn("bucket", F.pmod("h", F.lit(rows.count() // BUCKET + 1)))
+    h = F.md5(F.concat(F.lit("mix"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % F.lit(rows.count() // BUCKET + 1)
+    named = named.select("sid", "row", "size", "source_size", "quota", "id", h.alias("h"), bucket.alias("bucket"))
     by_hash = Window.partitionBy("sid", "bucket").orderBy("h", "id", "size", "row")
     named = named.withColumn("start", F.sum("size").over(by_hash.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    buckets = rows.where("size > 0").join(per.withColumnRenamed("source", "__of"), F.col("source").eqNullSafe(F.col("__of"))).groupBy("sid", F.pmod(h, F.lit(rows.count() // BUCKET + 1)).alias("bucket")).agg(F.sum("size").alias("words"))
+    buckets = rows.where("size > 0").join(per.withColumnRenamed("source", "__of"), F.col("source").eqNullSafe(F.col("__of"))).groupBy("sid", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
     ahead = F.sum("words").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
     named = named.join(buckets.select("sid", "bucket", ahead.alias("ahead")), ["sid", "bucket"]).withColumn("start", F.col("start") + F.col("ahead"))
     again = named.select("*", F.explode(F.expr("sequence(0L, (quota - 1) div source_size)")).alias("epoch")).withColumn("start", F.col("start") + F.col("epoch") * F.col("source_size")).where("start < quota").withColumn("end", F.least(F.col("start") + F.col("size"), F.col("quota")))

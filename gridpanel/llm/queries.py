@@ -61,6 +61,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_line_dedup, op4_tokens, op5_warc, op6_toxicity, op7_pii, op8_decontamination, op9_url_filter, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {
+    # what is taken of a document follows from the order of its source; which slot takes it doesn't show here
+    "op1_mixing": r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
+w AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w, source_size * 2.0::DOUBLE AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level FROM w WINDOW o AS (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, max(CASE WHEN cap > level * w THEN level END) OVER () AS top FROM l),
+t AS (SELECT source, source_size, CASE WHEN cap <= level * w THEN cap ELSE top * w END AS target, CAST(least(round(CASE WHEN cap <= level * w THEN cap ELSE top * w END), floor(cap)) AS BIGINT) AS quota FROM f),
+p AS (SELECT d.*, source_size, target, quota, sum(size) OVER (PARTITION BY d.source ORDER BY CAST('0x' || substr(h, 1, 8) AS BIGINT) % ((SELECT count(*) FROM d) // 1024 + 1), h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS pos FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, quota - pos)) + greatest(0, least(size, quota - pos - source_size)) AS BIGINT) AS taken FROM p""",
     "op3_line_dedup": r"""WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 a AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS line FROM raw WHERE text IS NOT NULL),
 w AS (SELECT doc_id, n, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM a),
