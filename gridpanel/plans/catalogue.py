@@ -337,7 +337,7 @@ def q24_keyed_tolerance_diff(spark, sf_dir):
 _PROFILED = ("l_orderkey", "l_quantity", "l_discount", "l_returnflag")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count_if({c} IS NULL) AS nulls, coalesce(count_if(TRY_CAST({c} AS DOUBLE) = 0), 0) AS zeros, count_if({c} IS NOT NULL AND TRY_CAST({c} AS DOUBLE) IS NULL) AS not_numeric FROM lineitem" for c in _PROFILED))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, CAST(count_if({c} IS NULL) AS BIGINT) AS nulls, CAST(coalesce(count_if(TRY_CAST({c} AS DOUBLE) = 0), 0) AS BIGINT) AS zeros, CAST(count_if({c} IS NOT NULL AND TRY_CAST({c} AS DOUBLE) IS NULL) AS BIGINT) AS not_numeric FROM lineitem" for c in _PROFILED))
 def q25_profile(spark, sf_dir):
     return compare.profile(read(spark, sf_dir, "lineitem"), list(_PROFILED))
 
@@ -385,7 +385,7 @@ def q28_time_dummies(spark, sf_dir):
 
 @query("""WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 100),
 d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) ** 2)) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), neighbour) AS INT) AS rank FROM d) SELECT vec_id, neighbour, rank, 0.125 AS weight FROM r WHERE rank <= 8""")
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), neighbour) AS INT) AS rank FROM d) SELECT vec_id, neighbour, rank, CAST(0.125 AS DOUBLE) AS weight FROM r WHERE rank <= 8""")
 def q29_knn_row_standardised(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").where("vec_id < 100").select("vec_id", "embedding")
     return spatial.nearest_neighbours(v, "vec_id", "embedding", 8)
