@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams and itself, hashed into rows of one
-embedding table; a window of a few words is the average of its words' bags and
+embedding table (a run of over 64 letters is several words); a window of a few words is the average of its words' bags and
 goes through a linear softmax. A document's score is that of its most toxic
 windows, so a handful of words in a long text counts; in training the share of
 windows that a document is judged by falls from all to its single top window.
@@ -26,6 +26,8 @@ from .common import kept, small_batches
 
 TOKEN = re.compile(r"\w+")
 BUCKETS, DIM, SHORT, LONG, SPAN = 1 << 16, 8, 3, 5, 5
+#: Letters of a word at most; a longer run (a script without spaces, say) counts as pieces of so many.
+PIECE = 64
 
 
 @dataclass(frozen=True)
@@ -38,13 +40,17 @@ class Bounds:
 
 
 def subwords(word: str) -> list[int]:
-    w = f"<{word[:64]}>"
+    w = f"<{word}>"
     grams = {w, *[w[i : i + n] for n in range(SHORT, LONG + 1) for i in range(len(w) - n + 1)]}
     return sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams})
 
 
 def words(text: str | None) -> list[str]:
-    return TOKEN.findall((text or "").lower())
+    """The runs of letters in order; of one over PIECE letters its pieces, which overlap so that every n-gram lies whole in one."""
+    found = TOKEN.findall((text or "").lower())
+    if all(len(w) <= PIECE for w in found):
+        return found
+    return [w[i : i + PIECE] for w in found for i in range(0, max(1, len(w) - LONG + 1), PIECE - LONG + 1)]
 
 
 def _windows(values: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -90,10 +96,10 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 16, batch: i
 
     def numbered(text: str | None) -> np.ndarray:
         found = array("i")
-        for w in TOKEN.finditer((text or "").lower()):
-            n = number.setdefault(w[0], len(number))
+        for w in words(text):
+            n = number.setdefault(w, len(number))
             if n == len(size):
-                bag = subwords(w[0])
+                bag = subwords(w)
                 flat.extend(bag)
                 size.append(len(bag))
             found.append(n)
