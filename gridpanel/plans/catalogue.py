@@ -247,6 +247,14 @@ def q17_dedup_exact(spark, sf_dir):
     return ingest.dedup_exact(c, ["role", "opening"], ["conv_id", "turn"]).select("conv_id", "turn", "signature")
 
 
+@query("""WITH s AS (SELECT conv_id, turn, sha256(CAST(to_json([coalesce(role, ''), coalesce(text, '')]) AS VARCHAR)) AS signature FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY conv_id, turn) AS k FROM s) SELECT conv_id, turn, signature FROM r WHERE k = 1""")
+def q17_dedup_exact_whole(spark, sf_dir):
+    """Turns of one role and one whole text, where q17_dedup_exact takes those of one opening."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return ingest.dedup_exact(c, ["role", "text"], ["conv_id", "turn"]).select("conv_id", "turn", "signature")
+
+
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS rows, 'repeated' AS problem FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
 def q18_dup_key_report(spark, sf_dir):
     return assemble.key_report(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
