@@ -570,6 +570,14 @@ def q45_tile_overlaps(spark, sf_dir):
     return grid.overlaps(t, block=256)
 
 
+@query("""WITH t AS (SELECT p_partkey AS tile, (p_partkey * 37) % 4000 AS x, (p_partkey * 61) % 3000 AS y FROM part)
+SELECT a.tile AS a, b.tile AS b FROM t a JOIN t b ON a.tile < b.tile AND a.x < b.x + 150 AND b.x < a.x + 150 AND a.y < b.y + 90 AND b.y < a.y + 90""")
+def q45_tile_overlaps_whole(spark, sf_dir):
+    """All parts as tiles, where q45_tile_overlaps takes the first 200."""
+    t = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("tile"), (F.col("p_partkey") * 37 % 4000).alias("x"), (F.col("p_partkey") * 61 % 3000).alias("y"), F.lit(150).alias("w"), F.lit(90).alias("h"))
+    return grid.overlaps(t, block=256)
+
+
 @query("""SELECT c_custkey, round(lag(o_totalprice) OVER (PARTITION BY c_custkey ORDER BY o_orderkey), 2) AS lagged, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey""")
 def q46_lagged_feature(spark, sf_dir):
     j = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").join(read(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
