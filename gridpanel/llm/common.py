@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -21,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is made
-    and set as the checkpoint folder of the context.
+    Only where that is unset and the master is local (tests on one machine) a
+    temporary folder is made and set as the checkpoint folder of the context. On a
+    cluster a folder of the driver is seen by no executor, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gridpanel-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -52,6 +56,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def own_name(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with underscores put before it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """A join on keys of which some may hold a large share of left's rows, where right is an aggregate by the same keys.
 
@@ -72,8 +87,6 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-
-
 def kept(kind: str, key: str, make):
     """What a worker process made last for this kind, if it was made for the same key; so tasks of one worker share it."""
     store = sys.modules.setdefault("_gridpanel_kept", types.ModuleType("_gridpanel_kept"))

@@ -61,15 +61,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_media, op3_line_dedup, op4_tokens, op5_warc, op6_toxicity, op7_pii, op8_decontamination, op9_url_filter, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {
-    # what is taken of a document follows from the order of its source; which slot takes it doesn't show here
-    "op1_mixing": r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    "op1_mixing": rf"""WITH d AS (SELECT doc_id, source, row_number() OVER () AS nr, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
 w AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w, source_size * 2.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level FROM w WINDOW o AS (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, max(CASE WHEN cap > level * w THEN level END) OVER () AS top FROM l),
-t AS (SELECT source, source_size, CASE WHEN cap <= level * w THEN cap ELSE top * w END AS target, CAST(least(round(CASE WHEN cap <= level * w THEN cap ELSE top * w END), floor(cap)) AS BIGINT) AS quota FROM f),
-p AS (SELECT d.*, source_size, target, quota, sum(size) OVER (PARTITION BY d.source ORDER BY CAST('0x' || substr(h, 1, 8) AS BIGINT) % ((SELECT count(*) FROM d) // 1024 + 1), h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS pos FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, quota - pos)) + greatest(0, least(size, quota - pos - source_size)) AS BIGINT) AS taken FROM p""",
+t AS (SELECT source, sid, source_size, CAST(cap AS BIGINT) AS most, CASE WHEN cap <= level * w THEN cap ELSE top * w END AS target, CAST(least(round(CASE WHEN cap <= level * w THEN cap ELSE top * w END), floor(cap)) AS BIGINT) AS quota FROM f),
+n AS (SELECT total, block, CAST(ceil(total / block) AS BIGINT) AS slots FROM (SELECT total, min(b) AS block FROM (SELECT CAST(sum(quota) AS BIGINT) AS total FROM t), (SELECT CAST({mixing.LEAST_BLOCK} * 2 ** unnest(range(40)) AS BIGINT) AS b) WHERE ceil(total / b) <= {mixing.MOST_SLOTS} GROUP BY 1)),
+e AS (SELECT sid, CAST(floor(CAST(upto - quota AS DOUBLE) / total * {1 << mixing.POINT_BITS}) AS BIGINT) AS low, CAST(floor(CAST(upto AS DOUBLE) / total * {1 << mixing.POINT_BITS}) AS BIGINT) AS high FROM (SELECT *, sum(quota) OVER (ORDER BY sid) AS upto FROM t), n),
+k AS (SELECT slot, CAST((CAST(slot + 1 AS HUGEINT) * {mixing.GOLDEN}) % {1 << mixing.POINT_BITS} AS BIGINT) AS u FROM (SELECT unnest(range(slots)) AS slot FROM n)),
+o AS (SELECT sid, slot, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM k JOIN e ON u >= low AND u < high),
+g AS (SELECT sid, least(any_value(most), count(*) * any_value(block)) AS words FROM o JOIN t USING (sid), n GROUP BY sid),
+p AS (SELECT d.*, sid, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY CAST('0x' || substr(h, 1, 8) AS BIGINT) % ((SELECT count(*) FROM d) // {mixing.BUCKET} + 1), h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS pos FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT nr, sid, pos + epoch * source_size AS a, least(pos + epoch * source_size + size, words) AS b FROM p JOIN g USING (sid), (SELECT unnest([0, 1]) AS epoch) WHERE size > 0 AND pos + epoch * source_size < words),
+r AS (SELECT nr, sid, a, b, block, unnest(range(CAST(a // block AS BIGINT), CAST((b - 1) // block AS BIGINT) + 1)) AS rank FROM q, n),
+x AS (SELECT nr, CAST(sum(least(b, (rank + 1) * block) - greatest(a, rank * block)) AS BIGINT) AS taken, count(DISTINCT slot) AS slots, min(slot) AS first_slot FROM r JOIN o USING (sid, rank) GROUP BY nr)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(slots, 0) AS slots, first_slot FROM p LEFT JOIN x USING (nr)""",
     "op3_line_dedup": r"""WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 a AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS line FROM raw WHERE text IS NOT NULL),
 w AS (SELECT doc_id, n, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM a),
