@@ -395,9 +395,10 @@ def test_copies(spark):
     images = [(10, pgm(a)), (11, pgm(a)), (12, png(a)), (13, pgm(a[15:100, 10:110])), (14, pgm(a * 0.8 + 20)), (15, pgm(np.rot90(a))), (20, pgm(b)), (21, pgm(media.resized(b, 85, 85))), (30, None), (31, b""), (32, b"P5 junk"), (None, pgm(b)), (40, pgm(np.full((64, 64), 9.0)))]
     images += [(50 + i, pgm(picture(100 + i))) for i in range(20)]
     df = spark.createDataFrame([(i, x, "n", 1) for i, x in images], "image_id long, image binary, node string, key int")
-    got = [(r["image_id"], r["class_id"], r["links"]) for r in media.copies(df).collect()]
-    by = {i: c for i, c, _ in got}
-    assert len(got) == len(images)
+    got = [(r["image_id"], r["class_id"], r["class_size"], r["decoded"]) for r in media.copies(df).collect()]
+    by = {i: c for i, c, *_ in got}
+    assert len(got) == len(images) and {i: n for i, _, n, _ in got}[10] == 6
+    assert {i for i, *_, ok in got if not ok} == {30, 31, 32}
     assert [by[i] for i in (10, 11, 12, 13, 14, 15)] == [10] * 6
     assert [by[i] for i in (20, 21, None)] == [20] * 3
     assert by[30] == by[31] == 30 and by[32] == 32 and by[40] == 40
