@@ -1,36 +1,43 @@
-"""Benchmark decontamination by greedy string tiling."""
+"""Benchmark decontamination by greedy string tiling.
+
+Runs of a few tokens are the seeds: those of the benchmark and those of the
+documents are joined, and a document and an item that may share enough of them are
+tiled, the longest matches first, by Karp-Rabin hashes.
+"""
 
 from __future__ import annotations
 
+import math
 import re
-import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, small_batches
+from .common import cut, discard, join_hot, own_name, small_batches
 
 TOKEN = re.compile(r"\w+")
 #: Words of the shortest tile, and the share of an item's words that tiles cover in a contaminated text.
 SHORTEST, COVERAGE = 3, 0.8
-#: Letters of benchmark texts that one pass holds in a worker; a larger benchmark takes more passes.
-PASS_LETTERS = 16_000_000
+#: The benchmark's seeds are marked in 2 ** MARK_BITS bits (4 MB, whatever the benchmark's size); documents' seeds without a mark go before any shuffle.
+MARK_BITS = 25
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall((text or "").lower())
+def tokens(text: str | None) -> np.ndarray:
+    """The lower-cased runs of letters and digits, as 64-bit hashes."""
+    found = TOKEN.findall((text or "").lower())
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in found), np.uint64, len(found))
 
 
 def _rolling(ids: np.ndarray, s: int) -> np.ndarray:
     """Karp-Rabin hashes, modulo 2**64, of all runs of s tokens."""
-    value = np.zeros(len(ids) - s + 1, dtype=np.uint64)
-    for k in range(s):
+    value = np.zeros(max(0, len(ids) - s + 1), dtype=np.uint64)
+    for k in range(s if len(value) else 0):
         value = value * _BASE + ids[k : len(ids) - s + 1 + k].astype(np.uint64) + np.uint64(1)
     return value
 
@@ -41,160 +48,229 @@ def _free(marked: np.ndarray, s: int) -> np.ndarray:
     return np.flatnonzero(run[s:] == run[:-s]) if len(marked) >= s else np.zeros(0, dtype=np.int64)
 
 
+def _ends(marked: np.ndarray) -> np.ndarray:
+    """For each token the first marked place from there on."""
+    place = np.where(marked, np.arange(len(marked)), len(marked))
+    return np.minimum.accumulate(place[::-1])[::-1]
+
+
+def _longest(item: np.ndarray, text: np.ndarray, i: int, places: np.ndarray, most: np.ndarray) -> tuple[int, int]:
+    """Words of the longest match of item from i on with text from one of the places on, each up to its bound, and the first place that has it."""
+    if len(places) <= 8:
+        found = []
+        for j, m in zip(places.tolist(), most.tolist()):
+            off = np.flatnonzero(item[i : i + m] != text[j : j + m])
+            found.append((int(off[0]) if len(off) else m, -j))
+        n, j = max(found)
+        return n, -j
+    n, alive = 0, places
+    while True:
+        further = alive[most > n]
+        most = most[most > n]
+        same = text[further + n] == item[i + n] if len(further) else np.zeros(0, bool)
+        if not same.any():
+            return n, int(alive[0])
+        alive, most, n = further[same], most[same], n + 1
+
+
 def tile(item: np.ndarray, text: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
     """Tiles (start in item, start in text, length), the longest first; no token of either is in two tiles.
 
-    Runs of equal tokens are sought by Karp-Rabin hashes at a search length that
-    doubles while longer matches exist and then falls to `shortest`; matches
-    are marked from the longest on, ties by their starts.
+    Always the longest match that is left is marked, of equal ones that with the
+    first start in the item, then in the text. Matches are sought by Karp-Rabin
+    hashes at a search length that rises while longer matches exist and then
+    falls to `shortest`. Of a match that goes on to the left only the whole one is
+    looked at, so a text of repeats costs its length for each token of the item.
     """
     marked = [np.zeros(len(item), bool), np.zeros(len(text), bool)]
     tiles: list[tuple[int, int, int]] = []
     s = max(shortest, min(20, len(item)))
     while True:
-        matches, longest = [], 0
+        matches = []
         mine, theirs = _free(marked[0], s), _free(marked[1], s)
         if len(mine) and len(theirs):
+            end_item, end_text = map(_ends, marked)
             h_item, h_text = _rolling(item, s)[mine], _rolling(text, s)[theirs]
-            places = defaultdict(list)
-            hit = np.flatnonzero(np.isin(h_text, h_item))
-            for j, h in zip(theirs[hit].tolist(), h_text[hit].tolist()):
-                places[h].append(j)
-            for i, h in zip(mine.tolist(), h_item.tolist()):
-                for j in places.get(h, ()):
-                    if i and j and item[i - 1] == text[j - 1] and not marked[0][i - 1] and not marked[1][j - 1]:
-                        continue
-                    n = 0
-                    while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and not marked[0][i + n] and not marked[1][j + n]:
-                        n += 1
+            hit = np.isin(h_text, h_item)
+            theirs, h_text = theirs[hit], h_text[hit]
+            order = np.argsort(h_text, kind="stable")
+            places, h_text = theirs[order], h_text[order]
+            last, before = -2, places[:0]
+            for i, a, b in zip(mine.tolist(), np.searchsorted(h_text, h_item).tolist(), np.searchsorted(h_text, h_item, side="right").tolist()):
+                at = own = places[a:b]
+                if last == i - 1 and len(before) and a < b:
+                    k = np.minimum(np.searchsorted(before, at - 1), len(before) - 1)
+                    own = at[before[k] != at - 1]
+                last, before = i, at
+                if len(own):
+                    n, j = _longest(item, text, i, own, np.minimum(end_item[i] - i, end_text[own] - own))
                     if n >= s:
                         matches.append((-n, i, j))
-                        longest = max(longest, n)
-        if longest > 2 * s:
-            s = longest
+        if matches and -min(matches)[0] > 2 * s:
+            s = -min(matches)[0]
             continue
-        left = False
+        again = False
         for n, i, j in sorted(matches):
-            n = -n
-            if not marked[0][i : i + n].any() and not marked[1][j : j + n].any():
-                marked[0][i : i + n] = marked[1][j : j + n] = True
-                tiles.append((i, j, n))
-            else:
-                left = True
-        if left:
+            again = bool(marked[0][i : i - n].any() or marked[1][j : j - n].any())
+            if again:
+                break
+            marked[0][i : i - n] = marked[1][j : j - n] = True
+            tiles.append((i, j, -n))
+        if again:
             continue
         if s == shortest:
             return tiles
         s = max(shortest, s // 2)
 
 
-class Bench:
-    """One pass's benchmark items, with their runs of `shortest` tokens as seeds: sorted hashes, and the items of each in one array."""
-
-    def __init__(self, items: list[tuple], shortest: int = SHORTEST):
-        self.number: dict[str, int] = {}
-        self.shortest, self.items, self.distinct = shortest, [], []
-        hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for item_id, text in items:
-            ids = np.array([self.number.setdefault(w, len(self.number)) for w in tokens(text)], dtype=np.int32)
-            if not len(ids):
-                continue
-            own = np.unique(_rolling(ids, shortest)) if len(ids) >= shortest else hashes[0][:0]
-            hashes.append(own)
-            owners.append(np.full(len(own), len(self.items)))
-            self.items.append((item_id, ids))
-            self.distinct.append(len(own))
-        hashes, owners = np.concatenate(hashes), np.concatenate(owners)
-        order = np.argsort(hashes, kind="stable")
-        self.keys, first = np.unique(hashes[order], return_index=True)
-        self.owners, self.edge = owners[order], np.append(first, len(order))
-
-    def found(self, text: str | None, coverage: float) -> list[tuple]:
-        """(item_id, share covered, tiles, words of the longest) of the items that the text covers that far."""
-        words = tokens(text)
-        ids = np.fromiter((self.number.get(w, -1) for w in words), np.int32, len(words))
-        if len(ids) < self.shortest or not len(self.keys):
-            return []
-        h = _rolling(ids, self.shortest)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        seeds = np.unique(at[self.keys[at] == h])
-        if not len(seeds):
-            return []
-        hits, counts = np.unique(np.concatenate([self.owners[self.edge[s] : self.edge[s + 1]] for s in seeds.tolist()]), return_counts=True)
-        out = []
-        for k, n in zip(hits.tolist(), counts.tolist()):
-            item_id, item = self.items[k]
-            # tiles that cover enough hold a seed for every (2 * shortest - 1) tokens at least, less what repeats within the item
-            if n < coverage * len(item) / (2 * self.shortest - 1) - (len(item) - self.shortest + 1 - self.distinct[k]):
-                continue
-            tiles = tile(item, ids, self.shortest)
-            share = sum(t[2] for t in tiles) / len(item)
-            if share >= coverage:
-                out.append((item_id, share, len(tiles), max(t[2] for t in tiles)))
-        return out
-
-
-def _passes(benchmark: DataFrame, item_id: str, text: str, letters: int) -> Iterator[list[tuple]]:
-    """The benchmark in parts of at most so many letters (one item at least), streamed to the driver part by part."""
-    part, size = [], 0
-    for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where(F.length("t") > 0).orderBy("i", "t").toLocalIterator():
-        if part and size + len(row["t"]) > letters:
-            yield part
-            part, size = [], 0
-        part.append((row["i"], row["t"]))
-        size += len(row["t"])
-    yield part
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, shortest: int = SHORTEST, letters: int = PASS_LETTERS, keep: list[str] | None = None) -> DataFrame:
+def _seeds(ids: np.ndarray, shortest: int) -> np.ndarray:
+    """The different runs of `shortest` tokens, as mixed signed numbers."""
+    x = np.unique(_rolling(ids, shortest))
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def needed(words: int, distinct: int, coverage: float, shortest: int) -> int:
+    """Different seeds of an item that tiles hold which cover that share of it: one for `shortest` tokens at least, less what repeats within the item."""
+    return max(1, math.ceil(coverage * words / shortest - 1e-9) - (words - shortest + 1 - distinct))
+
+
+def _item_seeds(items: DataFrame, coverage: float, shortest: int) -> DataFrame:
+    """key, seed, spare: a row per item (by the key of its text) and different seed; spare is how many seeds a contaminated text may lack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = tokens(text.as_py())
+                seeds = _seeds(ids, shortest)
+                if len(seeds):
+                    spare = len(seeds) - needed(len(ids), len(seeds), coverage, shortest)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seeds), key)), pa.array(seeds), pa.array(np.full(len(seeds), spare, np.int32))], names=["key", "seed", "spare"])
+
+    return items.mapInArrow(run, "key long, seed long, spare int")
+
+
+def _marks(seeds: DataFrame) -> np.ndarray:
+    """The bits of all seeds, in an array of fixed size."""
+    place = F.shiftrightunsigned("seed", 64 - MARK_BITS)
+    words = seeds.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - MARK_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (MARK_BITS - 6), dtype=np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _hits(texts: DataFrame, marks: np.ndarray, shortest: int) -> DataFrame:
+    """key, seed: the different seeds of each text that are marked."""
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                seeds = _seeds(tokens(text.as_py()), shortest)
+                place = seeds.view(np.uint64) >> np.uint64(64 - MARK_BITS)
+                seeds = seeds[(shared.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+                if len(seeds):
+                    keys.append(np.full(len(seeds), key))
+                    found.append(seeds)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found))], names=["key", "seed"])
+
+    return texts.mapInArrow(run, "key long, seed long")
+
+
+def _key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _candidates(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, coverage: float, shortest: int) -> DataFrame:
+    """key (of a text) and items (array of item_id, text): what has to be tiled.
+
+    A contaminated text lacks `spare` of the item's seeds at most, so it has one of
+    the item's spare + 1 rarest (prefix filtering); frequent seeds bring nothing
+    together. Texts with one key are one text here.
+    """
+    items = cut(benchmark.select(_key(F.col(f"`{item_text}`")).alias("key"), F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("text")).where("length(text) > 0"), "items")
+    seeds = cut(_item_seeds(items.groupBy("key").agg(F.first("text").alias("text")), coverage, shortest), "seeds")
+    hits = cut(_hits(docs.select(_key(F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`")), _marks(seeds), shortest).distinct(), "hits")
+    often = seeds.join(hits.groupBy("seed").agg(F.count("*").alias("n")), "seed")
+    # seeds that no text has take the first places of their items
+    order = F.row_number().over(Window.partitionBy("key").orderBy("n", "seed"))
+    absent = seeds.join(often.select("key", "seed"), ["key", "seed"], "left_anti").groupBy("key").agg(F.count("*").alias("absent"))
+    rare = often.withColumn("place", order).join(absent, "key", "left").where(F.col("place") + F.coalesce("absent", F.lit(0)) <= F.col("spare") + 1).select(F.col("key").alias("item"), "seed")
+    pairs = join_hot(hits, rare.groupBy("seed").agg(F.collect_list("item").alias("of")), ["seed"]).select("key", F.explode("of").alias("item")).distinct()
+    named = pairs.join(items.withColumnRenamed("key", "item"), "item")
+    out = cut(named.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("items")), "candidates")
+    for df in (items, seeds, hits):
+        discard(df)
+    return out
+
+
+def contained(text: str | None, items: list[tuple], coverage: float, shortest: int) -> list[tuple]:
+    """(item_id, share covered, tiles, words of the longest) of the items (item_id, text) that the text covers that far."""
+    ids, out = tokens(text), []
+    seeds = _seeds(ids, shortest)
+    for item_id, item_text in items:
+        item = tokens(item_text)
+        own = _seeds(item, shortest)
+        if not len(own) or np.isin(own, seeds, assume_unique=True).sum() < needed(len(item), len(own), coverage, shortest):
+            continue
+        tiles = tile(item, ids, shortest)
+        share = sum(t[2] for t in tiles) / len(item)
+        if share >= coverage:
+            out.append((item_id, share, len(tiles), max(t[2] for t in tiles)))
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, shortest: int = SHORTEST, keep: list[str] | None = None, added: tuple[str, str, str, str] = ("item_id", "coverage", "tiles", "longest")) -> DataFrame:
     """keep (doc_id by default), item_id, coverage, tiles, longest: a row per document and item of which tiles cover the share.
 
     Tokens are lower-cased runs of letters and digits, so case and punctuation
-    don't matter, nor does the order of passages. A benchmark of more than
-    `letters` letters takes several passes over docs, so what a worker holds is
-    bounded. Items shorter than the shortest tile, empty and null ones are never
-    found, nor is anything in a null text; repeated rows are found each.
+    don't matter, nor does the order of passages. Items shorter than the shortest
+    tile, empty and null ones are never found, nor is anything in a null text;
+    repeated rows of either table are found each. Columns to keep may not have
+    one of the added names.
     """
     keep = keep or [doc_id]
-    own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__t"))
-    item = T.StructField("item_id", benchmark.schema[item_id].dataType)
-    schema = T.StructType([*own.schema.fields[:-1], item, T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.LongType()), T.StructField("longest", T.LongType())])
+    if clash := set(keep) & set(added):
+        raise ValueError(f"columns are there already: {', '.join(sorted(clash))}")
+    own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__t"), _key(F.col(f"`{text}`")).alias("key"))
     small_batches(docs.sparkSession)
-    context, out = docs.sparkSession.sparkContext, None
-    for part in _passes(benchmark, item_id, item_text, letters):
-        shared, key = context.broadcast(part), uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            bench = kept("bench", key, lambda: Bench(shared.value, shortest))
-            for batch in batches:
-                where, rows = [], []
-                for i, t in enumerate(batch.column(len(keep))):
-                    for hit in bench.found(t.as_py(), coverage):
-                        where.append(i)
-                        rows.append(hit)
-                if rows:
-                    own_columns = batch.select(list(range(len(keep)))).take(pa.array(where, pa.int64())).columns
-                    yield pa.RecordBatch.from_arrays([*own_columns, *(pa.array([r[k] for r in rows]) for k in range(4))], names=schema.names)
-
-        found = own.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = _candidates(docs, benchmark, text, item_id, item_text, coverage, shortest)
+    rows = join_hot(own, found, ["key"]).select(*[F.col(f"`{c}`") for c in keep], "__t", "items")
+    kinds = [benchmark.schema[item_id].dataType, T.DoubleType(), T.LongType(), T.LongType()]
+    schema = T.StructType([*rows.schema.fields[: len(keep)], *[T.StructField(n, k) for n, k in zip(added, kinds)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where, hits = [], []
+            for i in range(batch.num_rows):
+                items = [(x["item_id"], x["text"]) for x in batch.column(len(keep) + 1)[i].as_py()]
+                for hit in contained(batch.column(len(keep))[i].as_py(), items, coverage, shortest):
+                    where.append(i)
+                    hits.append(hit)
+            if hits:
+                columns = batch.select(list(range(len(keep)))).take(pa.array(where, pa.int64())).columns
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[k] for r in hits]) for k in range(4))], names=schema.names)
 
+    return rows.mapInArrow(run, schema)
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, shortest: int = SHORTEST, letters: int = PASS_LETTERS) -> DataFrame:
-    """docs without the rows of which an item is contained that far; null and empty texts stay."""
-    out = docs
-    at = docs.columns.index(text)
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, shortest: int = SHORTEST) -> DataFrame:
+    """docs without the rows of which an item is contained that far; null and empty texts stay, and so do repeated rows."""
     small_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    for part in _passes(benchmark, item_id, item_text, letters):
-        shared, key = context.broadcast(part), uuid.uuid4().hex
+    found = _candidates(docs, benchmark, text, item_id, item_text, coverage, shortest)
+    key, items = own_name(docs, "__key", "__items")
+    both = join_hot(docs.withColumn(key, _key(F.col(f"`{text}`"))), found.select(F.col("key").alias(key), F.col("items").alias(items)), [key], "left")
+    rows = both.select(*[F.col(f"`{c}`") for c in docs.columns], items)
+    at, width = docs.columns.index(text), len(docs.columns)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            bench = kept("bench", key, lambda: Bench(shared.value, shortest))
-            for batch in batches:
-                clean = [not bench.found(t.as_py(), coverage) for t in batch.column(at)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = []
+            for i in range(batch.num_rows):
+                some = batch.column(width)[i].as_py()
+                clean.append(not some or not contained(batch.column(at)[i].as_py(), [(x["item_id"], x["text"]) for x in some], coverage, shortest))
+            yield batch.select(list(range(width))).filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    return rows.mapInArrow(run, docs.schema)

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -264,7 +266,7 @@ def test_toxicity_finds_misspellings_and_odd_texts(spark):
 
 
 def test_tiles():
-    item, text = np.array([1, 2, 3, 4, 5, 6, 7, 8]), np.array([5, 6, 7, 8, 0, 1, 2, 3, 4, 0, 6, 7, 8])
+    item, text = np.array([1, 2, 3, 4, 5, 6, 7, 8], dtype=np.uint64), np.array([5, 6, 7, 8, 0, 1, 2, 3, 4, 0, 6, 7, 8], dtype=np.uint64)
     assert sorted(decontam.tile(item, text)) == [(0, 5, 4), (4, 0, 4)]
     rng = np.random.default_rng(3)
     for _ in range(100):
@@ -291,30 +293,73 @@ def test_leaks(spark):
     bench = spark.createDataFrame([*items, (90, None), (91, ""), (92, "a b"), (93, "the the the the")], "item_id long, text string")
     docs = documents(spark, texts)
     want = {(2, 2), (3, 4), (7, 93)}
-    for letters in (4_000_000, 300):
-        rows = decontam.leaks(docs, bench, letters=letters).collect()
-        assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(rows) == 4
-    out = decontam.without_leaks(docs, bench, letters=300)
+    rows = decontam.leaks(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(rows) == 4
+    out = decontam.without_leaks(docs, bench)
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 4, 5, 6]
     assert decontam.leaks(docs, bench.limit(0)).collect() == [] and decontam.without_leaks(docs, bench.limit(0)).count() == len(texts)
     assert decontam.leaks(documents(spark, []), bench).collect() == []
+    with pytest.raises(ValueError):
+        decontam.leaks(docs, bench, keep=["doc_id", "coverage"])
+    twice = bench.unionByName(bench.where("item_id = 2"))
+    assert decontam.leaks(docs, twice, keep=["doc_id", "coverage"], added=("item", "share", "n", "most")).where("item = 2").count() == 4
+
+
+def plain_tiles(a, b, shortest=3):
+    """Greedy string tiling as it is defined: always the longest common run of unmarked tokens, by a table of all pairs."""
+    used_a, used_b, out = [False] * len(a), [False] * len(b), []
+    while True:
+        best, below = (0, 0, 0), [0] * (len(b) + 1)
+        for i in range(len(a) - 1, -1, -1):
+            row = [0] * (len(b) + 1)
+            for j in range(len(b) - 1, -1, -1):
+                if a[i] == b[j] and not used_a[i] and not used_b[j]:
+                    row[j] = below[j + 1] + 1
+                    best = max(best, (row[j], -i, -j))
+            below = row
+        n, i, j = best[0], -best[1], -best[2]
+        if n < shortest:
+            return out
+        used_a[i : i + n], used_b[j : j + n] = [True] * n, [True] * n
+        out.append((i, j, n))
+
+
+def test_tiles_against_the_definition():
+    rng = random.Random(12)
+    for _ in range(300):
+        k = rng.choice([1, 2, 3, 8])
+        a, b = ([rng.randrange(k) for _ in range(rng.randrange(0, 45))] for _ in range(2))
+        if rng.random() < 0.5 and len(a) > 12:
+            b[5:5] = a[3 : rng.randrange(4, len(a))] + a[:6]
+        assert decontam.tile(np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)) == plain_tiles(a, b)
+
+
+def test_tiles_of_repeats_take_no_square_of_the_text():
+    began = time.process_time()
+    for item, text in (([1] * 200, [1] * 60_000), ([1, 2] * 200, [1, 2] * 20_000), ([1, 2, 3, 4] * 50, [4, 3, 2, 1, 1, 2, 3] * 8000)):
+        tiles = decontam.tile(np.array(item, dtype=np.uint64), np.array(text, dtype=np.uint64))
+        assert sum(t[2] for t in tiles) >= 0.5 * len(item)
+    assert time.process_time() - began < 10
 
 
 def test_leaks_of_whole_table_against_plain_tiling(spark, small):
+    """Pairs that share a word are tiled by definition where their common words could cover the item."""
     docs, bench = table(spark, small, "documents").collect(), table(spark, small, "benchmark").collect()
-    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(table(spark, small, "documents"), table(spark, small, "benchmark")).collect()}
-    number = {}
-    ids = lambda t: np.array([number.setdefault(w, len(number)) for w in decontam.tokens(t)])
-    items = [(b["item_id"], ids(b["text"])) for b in bench]
-    grams = [{tuple(x[i : i + 3]) for i in range(len(x) - 2)} for _, x in items]
-    want = set()
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["tiles"], r["longest"]) for r in decontam.leaks(table(spark, small, "documents"), table(spark, small, "benchmark")).collect()}
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    want = {}
     for d in docs:
-        x = ids(d["text"])
+        x = words(d["text"])
         own = {tuple(x[i : i + 3]) for i in range(len(x) - 2)}
-        for (item, y), g in zip(items, grams):
-            if own & g and sum(t[2] for t in decontam.tile(y, x)) >= 0.8 * len(y):
-                want.add((d["doc_id"], item))
-    assert got == want
+        for item in bench:
+            y = words(item["text"])
+            inside = {k for i in range(len(y) - 2) if tuple(y[i : i + 3]) in own for k in (i, i + 1, i + 2)}
+            if len(inside) >= 0.8 * len(y) > 0:
+                near = {k for i in range(len(x) - 2) if tuple(x[i : i + 3]) in {tuple(y[i : i + 3]) for i in range(len(y) - 2)} for k in (i, i + 1, i + 2)}
+                tiles = plain_tiles(y, [w if k in near else None for k, w in enumerate(x)])
+                if sum(t[2] for t in tiles) >= 0.8 * len(y):
+                    want[d["doc_id"], item["item_id"]] = (sum(t[2] for t in tiles) / len(y), len(tiles), max(t[2] for t in tiles))
+    assert got == want and len(want) > 0
 
 
 # --- URLs --------------------------------------------------------------------
