@@ -82,9 +82,13 @@ def discard(df: DataFrame) -> None:
     """Delete what cut() wrote for df; call it only when nothing reads df any more."""
     path = getattr(df, "_gp_path", None)
     if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        drop_path(df.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def kept(kind: str, key: str, make):

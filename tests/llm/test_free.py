@@ -1,10 +1,12 @@
 """The other operators against plain Python, exact round trips or held-out rows."""
 
+import gzip
 import hashlib
 import random
 import re
 import time
 import zlib
+from datetime import UTC, datetime
 
 import numpy as np
 import pytest
@@ -220,15 +222,41 @@ def test_warc_odd_pages(spark):
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(i, f"http://a/{i}", ("x%d é\r\n\r\n" % i) * 300) for i in range(50)] + [(100, "http://b/", ("x7 é\r\n\r\n") * 300)], "page_id long, url string, html string")
     path = common.new_path(spark, "warc")
-    warc.write(warc.decided(pages), path, records=7)
+    day = datetime(2030, 1, 2, tzinfo=UTC)
+    warc.write(warc.decided(pages), path, archive_bytes=2000, date=day)
     got = {r["page_id"]: r for r in warc.read(spark, path, html=True).collect()}
     assert got[7]["record_type"] == "revisit" and got[7]["html"] == "" and got[100]["html"] == "x7 é\r\n\r\n" * 300
     assert {i: got[i]["html"] for i in range(50) if i != 7} == {i: ("x%d é\r\n\r\n" % i) * 300 for i in range(50) if i != 7}
-    raw = spark.read.format("binaryFile").load(path).where("path like '%.gz'").collect()
-    assert len(raw) >= 8
+    raw = spark.read.format("binaryFile").load(path).where("path like '%part-%'").collect()
+    assert len(raw) >= 4
     for f in raw:
-        text = zlib.decompress(bytes(f["content"]), 31)
-        assert text.startswith(b"WARC/1.1\r\nWARC-Type: ") and text.endswith(b"\r\n\r\n")
+        content, members = bytes(f["content"]), []
+        assert len(content) < 2000 + 1000
+        while content:
+            one = zlib.decompressobj(31)
+            members.append(one.decompress(content))
+            content = one.unused_data
+        assert members.pop() == b"" and all(m.startswith(b"WARC/1.1\r\nWARC-Type: ") and m.endswith(b"\r\n\r\n") and b"WARC-Date: 2030-01-02T00:00:00Z" in m for m in members)
+    assert gzip.decompress(bytes(raw[0]["content"])).startswith(b"WARC/1.1")
+
+
+def test_warc_refers_to_is_what_counts(spark):
+    """Revisits are resolved by their header; one that points nowhere, or to another payload, is an error."""
+    head = "page_id long, record_type string, record_id string, refers_to_id string, payload_bytes long, payload_digest string"
+    good = [(1, "response", "a", None, 5, "d"), (2, "revisit", "b", "a", 5, "d"), (None, "response", "n", None, 5, "e"), (3, "revisit", "c", "n", 5, "e")]
+    assert {r["page_id"]: r["refers_to"] for r in warc.resolved(spark.createDataFrame(good, head)).collect()} == {1: None, 2: 1, None: None, 3: None}
+    for bad in ((4, "revisit", "x", "nowhere", 5, "d"), (4, "revisit", "x", "a", 5, "other"), (4, "revisit", "x", None, 5, "d")):
+        with pytest.raises(Exception, match="no response for revisit"):
+            warc.resolved(spark.createDataFrame(good + [bad], head)).collect()
+
+
+def test_warc_moves_marked_payloads_only(spark):
+    """Payloads that no other record has aren't shuffled."""
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 800) for i in range(40)] + [(100, "u", "7 " * 800)], "page_id long, url string, html string")
+    rows = warc.decided(pages)
+    plan = rows._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Union") >= 1 and rows.where("record_type = 'revisit'").count() == 1
+    assert {r["page_id"] for r in rows.where("payload is null").collect()} == {7}
 
 
 # --- toxicity ----------------------------------------------------------------
