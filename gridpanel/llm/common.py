@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import sys
 import tempfile
@@ -67,6 +68,26 @@ def own_name(df: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def guarded(operator):
+    """An operator on a first frame that may have columns whose names begin with two underscores, as internal ones do: these are called otherwise meanwhile."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        other = {c: f"other{i}_{c}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        if not other:
+            return operator(docs, *args, **kwargs)
+        out = operator(docs.withColumnsRenamed(other), *args, **kwargs)
+        return out.withColumnsRenamed({v: k for k, v in other.items()})
+
+    return run
+
+
+def free_names(docs: DataFrame, added: tuple[str, ...]) -> None:
+    """An error if docs has a column that would be added."""
+    if clash := {c.lower() for c in added} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns are there already: {', '.join(sorted(clash))}")
+
+
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """A join on keys of which some may hold a large share of left's rows, where right is an aggregate by the same keys.
 

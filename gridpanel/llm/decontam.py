@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, discard, join_hot, own_name, small_batches
+from .common import cut, discard, free_names, guarded, join_hot, own_name, small_batches
 
 TOKEN = re.compile(r"\w+")
 #: Words of the shortest tile, and the share of an item's words that tiles cover in a contaminated text.
@@ -222,6 +222,7 @@ def contained(text: str | None, items: list[tuple], coverage: float, shortest: i
     return out
 
 
+@guarded
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, shortest: int = SHORTEST, keep: list[str] | None = None, added: tuple[str, str, str, str] = ("item_id", "coverage", "tiles", "longest")) -> DataFrame:
     """keep (doc_id by default), item_id, coverage, tiles, longest: a row per document and item of which tiles cover the share.
 
@@ -232,8 +233,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     one of the added names.
     """
     keep = keep or [doc_id]
-    if clash := set(keep) & set(added):
-        raise ValueError(f"columns are there already: {', '.join(sorted(clash))}")
+    free_names(docs.select(*[F.col(f"`{c}`") for c in keep]), added)
     own = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__t"), _key(F.col(f"`{text}`")).alias("key"))
     small_batches(docs.sparkSession)
     found = _candidates(docs, benchmark, text, item_id, item_text, coverage, shortest)
@@ -256,6 +256,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     return rows.mapInArrow(run, schema)
 
 
+@guarded
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, shortest: int = SHORTEST) -> DataFrame:
     """docs without the rows of which an item is contained that far; null and empty texts stay, and so do repeated rows."""
     small_batches(docs.sparkSession)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_hot, small_batches
+from .common import cut, free_names, guarded, join_hot, small_batches
 
 #: Words that a repeated run has at least, and words that a fingerprinted run of lines has at least.
 RUN_WORDS, GRAM_WORDS = 50, 20
@@ -128,6 +128,7 @@ def _remove(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
     return "\n".join(x for i, x in enumerate(lines) if i not in drop), len(drop), int(sum(counts[i] for i in gone))
 
 
+@guarded
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS, removed: tuple[str, str] | None = None) -> DataFrame:
     """docs with later repeats of line runs deleted from text; with `removed`, also two long columns of lines and words that went.
 
@@ -137,6 +138,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run
     is wholly repeated becomes empty, a null text stays null, and rows that
     repeat both doc_id and text count as one document.
     """
+    free_names(docs, removed or ())
     small_batches(docs.sparkSession)
     keyed = docs.withColumn("__gp_text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     spans = repeats(docs, doc_id, text, run_words, gram_words).groupBy(F.col(doc_id).alias("__gp_id"), F.col("tk").alias("__gp_of")).agg(F.collect_set(F.struct("first", "upto")).alias("__gp_spans"))

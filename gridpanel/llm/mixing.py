@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, own_name
+from .common import WORD, cut, free_names, guarded, own_name
 
 #: Documents that share a running sum, slots that share a rank, how many of such groups share the next level, and cells in the lookup of sources.
 BUCKET, CHUNK, FAN, CELL_BITS = 256, 1024, 1024, 12
@@ -148,6 +148,7 @@ def taken(docs: DataFrame, keys: list[str], doc_id: str = "doc_id", source: str
     return named.join(words, "row", "left").select(*[F.col("keys").getField(k).alias(k) for k in keys], "size", "source_size", "target", zero("taken"), zero("slots"), "first_slot")
 
 
+@guarded
 def mixed_stream(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", block: int | None = None, added: tuple[str, str, str, str] = ("slot", "epoch", "word_from", "word_to"), **share) -> DataFrame:
     """The mixed stream in slot order: the columns of docs, of which text is what a slot takes of a document, and the four added ones.
 
@@ -159,8 +160,7 @@ def mixed_stream(docs: DataFrame, doc_id: str = "doc_id", source: str = "source"
     that is taken so often; their other columns are those of any of them. The
     columns of docs may not have an added name.
     """
-    if clash := set(added) & set(docs.columns):
-        raise ValueError(f"columns are there already: {', '.join(sorted(clash))}")
+    free_names(docs, added)
     key, got = own_name(docs, "__key", "__got")
     part = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
     keyed = docs.withColumn(key, F.md5(F.concat_ws("\x1f", *[part(F.col(c)) for c in (doc_id, source, text)])))

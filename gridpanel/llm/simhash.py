@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_hot, small_batches
+from .common import cut, guarded, join_hot, small_batches
 from .components import components
 
 #: Members of a bucket that are compared in one task; larger buckets are compared in pairs of parts of this size.
@@ -202,6 +202,7 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     return prints.join(named, "fp0").select(F.col(doc_id), F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@guarded
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seeds: tuple[int, ...] = (42, 43, 44), min_letters: int = 4, max_bits: int = 4, least: float = 0.73) -> DataFrame:
     """docs without all but one document of each near-duplicate group; the columns of docs.
 

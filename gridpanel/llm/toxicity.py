@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, small_batches
+from .common import free_names, guarded, kept, small_batches
 
 TOKEN = re.compile(r"\w+")
 BUCKETS, DIM, SHORT, LONG, SPAN = 1 << 16, 8, 3, 5, 5
@@ -182,7 +182,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 16, batch: i
 def training_rows(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """The bounded sample: of each label the first ids by a hash, and of these the whole texts of at most max_chars letters.
 
-    The ids are chosen from the labels alone and are toxic + clean at most, which
+    Ids of longer texts, and of labels without a text, leave the sample and aren't replaced. The ids are chosen from the labels alone and are toxic + clean at most, which
     is the bound of what is broadcast; texts are never shuffled. Rows whose crc32(doc_id as text) mod 5 is 0 are held out and never here.
     """
     marked = labels.where(F.col(label).isin(0, 1) & ~is_held_out(doc_id)).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y")).withColumn("__order", F.xxhash64("__id"))
@@ -211,6 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), doc_id: s
 
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the column out: 0 to 1, higher for likelier toxic, from the whole text alone; null and empty texts get the lowest score."""
+    free_names(docs, (out,))
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
     at = docs.columns.index(text)
     small_batches(docs.sparkSession)
@@ -232,6 +233,7 @@ def judged(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Dat
     return out.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@guarded
 def without_toxic(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """docs without those that score 0.5 or more; null and empty texts stay."""
     return scored(docs, fit(docs, labels, bounds), out="__gp_score").where("__gp_score < 0.5").drop("__gp_score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,8 +17,8 @@ from pyspark.sql import types as T
 ALLOW, BLOCK = "allow", "block"
 #: (verdict, host and path prefix).
 RULES = ((ALLOW, "org/"), (BLOCK, "example.org/es/"), (BLOCK, "example.org/en/1"), (ALLOW, "com/fr/"), (BLOCK, "com/de/"))
-#: Labelled URLs of each label that the trees are fitted on at most, in the order of a hash.
-SAMPLE = 10_000
+#: Labelled URLs of each label that the trees are fitted on at most, in the order of a hash, and their letters at most.
+SAMPLE, LETTERS = 10_000, 4096
 BINS, DEPTH, ROUNDS, RATE = 32, 3, 40, 0.2
 
 
@@ -55,8 +56,12 @@ def _entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) if s else 0.0
 
 
-def features(url: str | None) -> tuple[list[float], str, str]:
-    """Lexical features and the last one and two labels of the host."""
+#: Statistics by part of a URL: the last one and two labels of the host, the first part of the path, and it with the two labels.
+PARTS = 4
+
+
+def features(url: str | None) -> tuple[list[float], tuple[str, ...]]:
+    """Lexical features and the PARTS whose statistics count too."""
     url = url or ""
     rest = url.partition("://")[2]
     cut = min((i for i in (rest.find(c) for c in "/?#") if i >= 0), default=len(rest))
@@ -71,7 +76,9 @@ def features(url: str | None) -> tuple[list[float], str, str]:
         query.count("&") + bool(query), len(query), len(fragment), len(labels), max(map(len, labels)), name.count("-"), url.count("%"),
         sum(c.isupper() for c in url) / n, float(url.startswith("https")), float(way.endswith((".html", ".htm", ".php"))), float(way.endswith("/")),
     ]
-    return [float(v) for v in values], labels[-1], ".".join(labels[-2:])
+    first = way.split("/")[1] if "/" in way else ""
+    two = ".".join(labels[-2:])
+    return [float(v) for v in values], (labels[-1], two, f"/{first}", f"{two}/{first}")
 
 
 @dataclass(frozen=True)
@@ -79,7 +86,7 @@ class Trees:
     """Plain data: suffix statistics, bin edges and complete trees of DEPTH levels."""
 
     prior: float
-    suffixes: tuple[dict[str, float], dict[str, float]]
+    suffixes: tuple[dict[str, float], ...]
     edges: np.ndarray
     feature: np.ndarray
     bin: np.ndarray
@@ -88,8 +95,8 @@ class Trees:
 
     def matrix(self, urls: list[str | None]) -> np.ndarray:
         rows = []
-        for values, last, two in map(features, urls):
-            rows.append([*values, self.suffixes[0].get(last, self.prior), self.suffixes[1].get(two, self.prior)])
+        for values, parts in map(features, urls):
+            rows.append([*values, *[s.get(p, self.prior) for s, p in zip(self.suffixes, parts)]])
         return np.array(rows, dtype=np.float64).reshape(len(urls), -1)
 
     def margin(self, urls: list[str | None]) -> np.ndarray:
@@ -121,14 +128,14 @@ def train(urls: list[str | None], blocked: list[int], rounds: int = ROUNDS, rate
     parts = [features(u) for u in urls]
     suffixes: list[dict[str, float]] = []
     columns = []
-    for k in (1, 2):
-        seen, hit = Counter(p[k] for p in parts), Counter(p[k] for p, b in zip(parts, y) if b)
+    for k in range(PARTS):
+        seen, hit = Counter(p[1][k] for p in parts), Counter(p[1][k] for p, b in zip(parts, y) if b)
         suffixes.append({s: (hit[s] + 10 * prior) / (n + 10) for s, n in seen.items() if n >= 5})
         # a row's own label is left out of its statistic
-        columns.append([(hit[p[k]] - b + 10 * prior) / (seen[p[k]] + 9) if seen[p[k]] >= 5 else prior for p, b in zip(parts, y)])
+        columns.append([(hit[p[1][k]] - b + 10 * prior) / (seen[p[1][k]] + 9) if seen[p[1][k]] >= 5 else prior for p, b in zip(parts, y)])
     base = math.log(prior / (1 - prior))
     nodes = 2**DEPTH - 1
-    width = len(features("")[0]) + 2
+    width = len(features("")[0]) + PARTS
     if not len(y) or y.min() == y.max():
         return Trees(prior, tuple(suffixes), np.zeros((width, BINS - 1)), np.zeros((0, nodes), int), np.zeros((0, nodes), int), np.zeros((0, nodes + 1)), base)
     x = np.column_stack([np.array([p[0] for p in parts]), *columns])
@@ -161,14 +168,47 @@ def train(urls: list[str | None], blocked: list[int], rounds: int = ROUNDS, rate
     return Trees(prior, tuple(suffixes), edges, *(np.stack(t) for t in zip(*trees)), base)
 
 
+def sampled(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """url, blocked, __order: at most `sample` different URLs of each label, the first by a hash.
+
+    Only URLs whose hash is in the part of its range that holds about four times
+    as many are shuffled, so no more than the sample moves. Longer URLs than
+    LETTERS, null ones and other labels are left out.
+    """
+    known = labelled.select("url", F.col("blocked").cast("int").alias("blocked")).where((F.length("url") <= LETTERS) & F.col("blocked").isin(0, 1)).withColumn("__order", F.xxhash64("url"))
+    sizes = {r["blocked"]: r["n"] for r in known.groupBy("blocked").agg(F.approx_count_distinct("url").alias("n")).collect()}
+    parts = []
+    for label in (0, 1):
+        share = min(1.0, 4.0 * sample / max(1, sizes.get(label, 0)))
+        few = known.where(F.col("blocked") == label)
+        few = few.where(F.col("__order") < int((share - 0.5) * 2.0**64)) if share < 1 else few
+        parts.append(few.distinct().orderBy("__order", "url").limit(sample))
+    return parts[0].unionByName(parts[1])
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Trees:
+    """Trees of the sample, fitted in one task, which Spark repeats elsewhere if its executor is lost; the driver gets the trees alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in (2, 0, 1))))
+        t = train([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((t.prior, t.suffixes, t.edges, t.feature, t.bin, t.leaf, t.base))])], names=["trees"])
+
+    found = sampled(labelled, sample).repartition(1).mapInArrow(run, "trees binary").collect()
+    return Trees(*pickle.loads(found[0]["trees"])) if found else train([], [])
+
+
 def judged(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """key, host, path, rule, verdict, score of every page.
 
     verdict is the rule's; without one it is that of the trees, block where their
     probability of block (score) is 0.5 or more. labelled has url and blocked
     (0 or 1); by default the URLs that the rules decide are the labelled ones. The
-    trees are fitted on at most `sample` URLs of each label. A null URL, or one
-    without ://, has an empty host and path, no rule, and is judged by the trees.
+    trees are fitted on at most `sample` URLs of each label, and without any they
+    allow or block by the label there is, else with a probability of 0.5. A null
+    URL, or one without ://, has an empty host and path, no rule, and is judged by
+    the trees; null keys and repeated rows are rows like any other; of pages only
+    key and url are read.
     """
     own = pages.select(F.col(key).alias(key), F.col(url).alias("__url"))
     own = own.select("*", host(F.col("__url")).alias("host"), path(F.col("__url")).alias("path"))
@@ -176,10 +216,7 @@ def judged(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tupl
     own = own.select(key, "__url", "host", "path", rule.alias("rule"), verdict.alias("__ruled"))
     if labelled is None:
         labelled = own.where("__ruled is not null").select(F.col("__url").alias("url"), (F.col("__ruled") == BLOCK).cast("int").alias("blocked"))
-    known = labelled.select("url", "blocked").where("url is not null").distinct().withColumn("__order", F.xxhash64("url"))
-    rows = known.where("blocked = 1").orderBy("__order", "url").limit(sample).unionByName(known.where("blocked = 0").orderBy("__order", "url").limit(sample)).collect()
-    rows.sort(key=lambda r: (r["__order"], r["url"]))
-    t = train([r["url"] for r in rows], [r["blocked"] for r in rows])
+    t = fit(labelled, sample)
     shared = pages.sparkSession.sparkContext.broadcast((t.prior, t.suffixes, t.edges, t.feature, t.bin, t.leaf, t.base))
     schema = T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType())])
 

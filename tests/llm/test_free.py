@@ -11,9 +11,10 @@ from datetime import UTC, datetime
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql.functions import lit
 
 
-from gridpanel.llm import common, components, decontam, line_dedup, media, simhash, tokens, toxicity, urls, warc
+from gridpanel.llm import common, components, decontam, line_dedup, media, mixing, passages, simhash, tokens, toxicity, urls, warc
 from gridpanel.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, fp0 long, key string, tk long, kept string, coverage double"
@@ -262,15 +263,27 @@ def test_warc_moves_marked_payloads_only(spark):
 # --- toxicity ----------------------------------------------------------------
 
 
-def test_toxicity_on_held_out_rows(spark, medium):
+def test_toxicity_rows(spark, medium):
     rows = toxicity.judged(table(spark, medium, "documents"), table(spark, medium, "labels")).collect()
-    labels = {r["doc_id"]: r["toxic"] for r in table(spark, medium, "labels").collect()}
     assert len(rows) == 1000
     for r in rows:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
-    held = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
-    assert sum(p == y for p, y in held) / len(held) >= 0.88
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """On rows that were never learnt: far better than calling everything clean, for short and for long texts."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    labels = {r["doc_id"]: r["toxic"] for r in table(spark, "/root/testdata/sf0.1", "labels").collect()}
+    length = {r["doc_id"]: len(r["text"] or "") for r in docs.collect()}
+    rows = [r for r in toxicity.judged(docs, table(spark, "/root/testdata/sf0.1", "labels")).collect() if r["held_out"] and r["doc_id"] in labels]
+    middle = sorted(length[r["doc_id"]] for r in rows)[len(rows) // 2]
+    for some in (rows, [r for r in rows if length[r["doc_id"]] <= middle], [r for r in rows if length[r["doc_id"]] > middle]):
+        y, p = np.array([labels[r["doc_id"]] for r in some]), np.array([r["predicted"] for r in some])
+        hit = int((y * p).sum())
+        precision, recall = hit / max(1, p.sum()), hit / max(1, y.sum())
+        assert precision >= 0.8 and recall >= 0.7, (len(some), precision, recall)
+        assert (y == p).mean() >= 1 - 0.5 * y.mean()  # half the errors of the better constant answer
 
 
 def test_toxicity_finds_misspellings_and_odd_texts(spark):
@@ -443,6 +456,55 @@ def test_trees_learn():
     assert urls.train([], []).margin(["http://x"]).shape == (1,) and urls.train(["a"] * 3, [1] * 3).margin(["b"])[0] > 0
 
 
+def test_trees_on_held_out_urls(spark):
+    """Labelled by the rules, a fifth of the different URLs never learnt: far better than the more frequent verdict."""
+    rows = urls.judged(table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url")).where("rule is not null")
+    known = {r["url"]: int(r["verdict"] == "block") for r in rows.join(table(spark, "/root/testdata/sf0.1", "pages"), "page_id").select("url", "verdict").collect()}
+    held = [u for u in known if zlib.crc32(u.encode()) % 5 == 0]
+    labelled = spark.createDataFrame([(u, b) for u, b in known.items() if zlib.crc32(u.encode()) % 5], "url string, blocked int")
+    p = (urls.fit(labelled).margin(held) >= 0).astype(int)
+    y = np.array([known[u] for u in held])
+    assert len(held) >= 50 and (p == y).mean() >= 1 - 0.5 * min(y.mean(), 1 - y.mean()), ((p == y).mean(), y.mean(), len(held))
+
+
+def test_sampled_urls(spark):
+    df = spark.createDataFrame([(f"http://a/{i % 3000}", i % 3000 % 2) for i in range(9000)] + [(None, 1), ("x" * 5000, 1), ("y", None), ("z", 7)], "url string, blocked int")
+    got = urls.sampled(df, 100).collect()
+    assert len(got) == len({r["url"] for r in got}) == 200 and sum(r["blocked"] for r in got) == 100
+    assert sorted(r["url"] for r in got) == sorted(r["url"] for r in urls.sampled(df.repartition(7), 100).collect())
+    assert urls.sampled(df.limit(0), 100).collect() == []
+
+
+def test_clashing_names(spark):
+    """Columns called as internal ones are kept as they are."""
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, long, "a", 1), (2, long, "b", 2), (3, "another text", "c", 3), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __gp_text string, __gp_id long").withColumn("__hot", lit(5)).withColumn("__of", lit(6))
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "no such words here")], "item_id long, text string")
+    for out in (line_dedup.dedup_lines(docs), passages.dedup_passages(docs), simhash.keep_one(docs), toxicity.without_toxic(docs, labels), decontam.without_leaks(docs, bench), mixing.mixed_stream(docs)):
+        assert out.columns[:6] == docs.columns
+        got = {r["doc_id"]: (r["__gp_text"], r["__gp_id"], r["__hot"], r["__of"]) for r in out.collect()}
+        assert got[1] == ("a", 1, 5, 6) and got[3] == ("c", 3, 5, 6)
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(docs, removed=("doc_id", "n"))
+    with pytest.raises(ValueError):
+        toxicity.scored(docs, toxicity.train([], []), out="text")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
+
+
 # --- media -------------------------------------------------------------------
 
 
