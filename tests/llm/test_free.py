@@ -482,10 +482,11 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, __gp_text string, __gp_id long").withColumn("__hot", lit(5)).withColumn("__of", lit(6))
     labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "no such words here")], "item_id long, text string")
-    for out in (line_dedup.dedup_lines(docs), passages.dedup_passages(docs), simhash.keep_one(docs), toxicity.without_toxic(docs, labels), decontam.without_leaks(docs, bench), mixing.mixed_stream(docs)):
+    for out in (line_dedup.dedup_lines(docs), passages.dedup_passages(docs), simhash.keep_one(docs), toxicity.without_toxic(docs, labels), decontam.without_leaks(docs, bench)):
         assert out.columns[:6] == docs.columns
         got = {r["doc_id"]: (r["__gp_text"], r["__gp_id"], r["__hot"], r["__of"]) for r in out.collect()}
         assert got[1] == ("a", 1, 5, 6) and got[3] == ("c", 3, 5, 6)
+    assert mixing.mixed_stream(docs, source="doc_id").columns == docs.columns + ["slot", "epoch", "word_from", "word_to"]
     with pytest.raises(ValueError):
         line_dedup.dedup_lines(docs, removed=("doc_id", "n"))
     with pytest.raises(ValueError):
