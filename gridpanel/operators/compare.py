@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def differs(a: Column, b: Column, tolerance: float | None) -> Column:
@@ -38,15 +37,30 @@ def records_against(records: DataFrame, rows: DataFrame, keys: list[str], column
     return keyed_diff(records, rows, keys, columns, {c: tolerance for c in columns}).where("kind <> 'extra'")
 
 
-def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, rows, nulls, zeros, not_numeric, distinct: one pass, long by column."""
-    text = lambda c: F.col(c).cast("string")
-    number = lambda c: text(c).try_cast("double")
-    made = lambda c: F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_if(number(c) == 0).alias("zeros"), F.count_if(F.col(c).isNotNull() & number(c).isNull()).alias("not_numeric"))
+def profile(df: DataFrame, columns: list[str], distinct: bool = False) -> DataFrame:
+    """column, rows, nulls, zeros, not_numeric and, if asked for, distinct (different values): one pass, long by column."""
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    number = lambda c: F.col(c) if c in numeric else F.col(c).cast("string").try_cast("double")
+    odd = lambda c: F.lit(0).cast("long") if c in numeric else F.count_if(F.col(c).isNotNull() & number(c).isNull())
+    more = lambda c: [F.count_distinct(c).alias("distinct")] if distinct else []
+    made = lambda c: F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_if(number(c) == 0).alias("zeros"), odd(c).alias("not_numeric"), *more(c))
     one = df.agg(*[made(c).alias(f"__{i}") for i, c in enumerate(columns)])
     return one.select(F.explode(F.array(*[F.col(f"__{i}") for i in range(len(columns))])).alias("p")).select("p.*")
 
 
+def described(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, n, mean, std (of a sample), min, q25, q50, q75, max of numeric columns, nulls left out: one pass, quantiles interpolated."""
+    made = lambda c: F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(F.col(c).cast("double")).alias("max"))
+    one = df.agg(*[made(c).alias(f"__{i}") for i, c in enumerate(columns)])
+    rows = one.select(F.explode(F.array(*[F.col(f"__{i}") for i in range(len(columns))])).alias("p")).select("p.*")
+    return rows.select("column", "n", "mean", "std", "min", *[F.col("q")[i].alias(f"q{n}") for i, n in enumerate((25, 50, 75))], "max")
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """The column's different values, null left out, and how often they occur."""
+    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+
+
 def handoff(df: DataFrame, required: list[str], keys: list[str], first: int | None = None, order: list[str] | None = None) -> DataFrame:
     """check, n: missing columns, nulls, values that are no numbers, repeated keys (among the first rows if asked)."""
     missing = [c for c in required if c not in df.columns]
@@ -60,7 +74,3 @@ def handoff(df: DataFrame, required: list[str], keys: list[str], first: int | No
         repeated = some.groupBy(*keys).agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("n"))
         rows = rows.unionByName(repeated.select(F.lit("duplicate_keys").alias("check"), "n"))
     return rows
-
-
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)

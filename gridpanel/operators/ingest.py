@@ -43,10 +43,12 @@ def normalized(raw: DataFrame) -> DataFrame:
         "version": F.when(F.trim("version").isin(*VERSIONS), F.lit("6.1")),
     } | ({"instrument": F.when(F.trim("instrument") == "MODIS", F.lit("MODIS"))} if has("instrument") else {})
     problem = F.lit(None).cast("string")
-    for name, value in reversed(fields.items()):
-        problem = F.when(value.isNull(), F.lit(name)).otherwise(problem)
-    rest = [F.col(c) for c in raw.columns if c not in fields]
-    return raw.select(*[v.alias(n) for n, v in fields.items()], *rest, problem.alias("problem"))
+    for name in reversed(fields):
+        problem = F.when(F.col(name).isNull(), F.lit(name)).otherwise(problem)
+    rest = [c for c in raw.columns if c not in fields]
+    # a generator, so that each field is made once, whatever reads it later
+    typed = raw.select(*[F.col(c) for c in rest], F.inline(F.array(F.struct(*[v.alias(n) for n, v in fields.items()]))))
+    return typed.select(*fields, *rest, problem.alias("problem"))
 
 
 def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,10 +7,14 @@ so a point is tested against the polygons of its cell only.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.indices import _c
+from ..sources.scratch import written
 
 # The earth as the map projections take it (WGS 84), and the UTM scale and false easting.
 A, FLATTENING = 6378137.0, 1 / 298.257223563
@@ -75,8 +79,8 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, x: str = "lon", y:
     return found.where("matches > 0") if unassigned == "drop" else found
 
 
-def boxes_meeting(polygons: DataFrame, boxes: DataFrame, size: float = 1.0) -> DataFrame:
-    """Polygons whose shape meets any of the boxes (boundary included): a semi join after the boxes of both met in a cell."""
+def boxes_meeting(polygons: DataFrame, boxes: DataFrame, size: float = 1.0, gid: str = "gid") -> DataFrame:
+    """Polygons, each named by gid, whose shape meets any of the boxes (boundary included): a semi join after the boxes of both met in a cell."""
     e, inside = edges("rings"), "exists(flatten(rings), p -> p.x BETWEEN b_west AND b_east AND p.y BETWEEN b_south AND b_north)"
     # an edge crosses the box if it isn't wholly on one side and the box's corners aren't all on one side of it
     side = lambda cx, cy: f"sign((e.x2 - e.x1) * ({cy} - e.y1) - (e.y2 - e.y1) * ({cx} - e.x1))"
@@ -86,9 +90,9 @@ def boxes_meeting(polygons: DataFrame, boxes: DataFrame, size: float = 1.0) -> D
     cells = boxes.select(*[F.col(c).alias(f"b_{c}") for c in ("west", "south", "east", "north")])
     for axis, a, b in (("__bx", "b_west", "b_east"), ("__by", "b_south", "b_north")):
         cells = cells.select("*", F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))).alias(axis))
-    keyed = _bucketed(polygons.withColumn("__id", F.xxhash64(F.to_json("rings"))), size)
-    hit = keyed.join(cells, ["__bx", "__by"]).where(F.expr(f"({inside} OR {crossing})") | covers("rings", "b_west", "b_south")).select("__id").distinct()
-    return polygons.withColumn("__id", F.xxhash64(F.to_json("rings"))).join(hit, "__id", "left_semi").drop("__id")
+    keyed = _bucketed(polygons.select(gid, "rings"), size)
+    hit = keyed.join(cells, ["__bx", "__by"]).where(F.expr(f"({inside} OR {crossing})") | covers("rings", "b_west", "b_south")).select(gid).distinct()
+    return polygons.join(hit, gid, "left_semi")
 
 
 def centroid(rings: str = "rings") -> Column:
@@ -145,18 +149,85 @@ def buffer(lon, lat, distance, shape: str, corners: int = 32) -> Column:
     return F.array(F.transform(steps, lambda i: point(d * F.cos(i * (F.pi() * 2 / corners)), d * F.sin(i * (F.pi() * 2 / corners)))))
 
 
-def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, bounded: int = 5000) -> DataFrame:
-    """key, neighbour, rank, weight (1 / k): the k nearest others by Euclidean distance, ties by key.
+def nearest_points(points: DataFrame, key: str, k: int, x: str = "x", y: str = "y", per_cell: int = 4, rounds: int = 32) -> DataFrame:
+    """key, neighbour, rank, weight (1 / k): the k nearest other points by Euclidean distance, ties by key; exact for any number of points.
 
-    An exact search compares all pairs, so it is refused over more than `bounded` rows.
+    Points meet in grid cells of about per_cell points each and the cells around. A
+    point is done once its k-th neighbour is nearer than the searched cells'
+    edge; the others go on in a grid twice as coarse, until it is one cell. Null
+    places are left out; points that are alone, or fewer than k others, have fewer rows.
+    The points of one cell are compared with one another, so points that crowd
+    on few places (thousands on one) cost their square.
     """
-    n = df.limit(bounded + 1).count()
-    if n > bounded:
-        raise ValueError(f"exact neighbours are for {bounded} rows at most")
-    a, b = df.select(F.col(key).alias("a"), F.col(vector).alias("va")), df.select(F.col(key).alias("b"), F.col(vector).alias("vb"))
-    d = F.aggregate(F.zip_with("va", "vb", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    pairs = a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", "b", d.alias("d"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("rank") <= k)
+    own = points.select(F.col(key).alias("a"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    box = own.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    schema = f"{key} {points.schema[key].dataType.simpleString()}, neighbour {points.schema[key].dataType.simpleString()}, rank int, weight double"
+    if not box["n"]:
+        return points.sparkSession.createDataFrame([], schema)
+    wide = max(box["x1"] - box["x0"], box["y1"] - box["y0"])
+    area = max(box["x1"] - box["x0"], wide / box["n"]) * max(box["y1"] - box["y0"], wide / box["n"])
+    size = max((area * per_cell / box["n"]) ** 0.5, wide / 2**30) or 1.0
+    cell = lambda c, low, s: F.floor((F.col(c) - low) / s)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    left, out = own, None
+    for _ in range(rounds):
+        last = size > wide
+        mine = left.withColumns({"cx": cell("x", box["x0"], size), "cy": cell("y", box["y0"], size)})
+        other = own.select(F.col("a").alias("b"), F.col("x").alias("u"), F.col("y").alias("v"), cell("x", box["x0"], size).alias("ox"), cell("y", box["y0"], size).alias("oy"), F.explode(around).alias("o"))
+        other = other.select("b", "u", "v", (F.col("ox") + F.col("o.i")).alias("cx"), (F.col("oy") + F.col("o.j")).alias("cy"))
+        met = mine.join(other, ["cx", "cy"]).where("a <> b").withColumn("d", (F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("v")) * (F.col("y") - F.col("v")))
+        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("rank") <= k)
+        # everything nearer than the edge of the cells around has been met
+        edge = F.least(*[F.col(c) - (F.lit(low) + (F.col(cc) - 1) * size) for c, low, cc in (("x", box["x0"], "cx"), ("y", box["y0"], "cy"))], *[F.lit(low) + (F.col(cc) + 2) * size - F.col(c) for c, low, cc in (("x", box["x0"], "cx"), ("y", box["y0"], "cy"))])
+        ranked = ranked.select("a", "b", "rank", "d", edge.alias("edge")).withColumns({"n": F.count("*").over(Window.partitionBy("a")), "far": F.max("d").over(Window.partitionBy("a"))})
+        ranked = written(ranked.select("a", "b", "rank", (F.lit(last) | ((F.col("n") == k) & (F.sqrt("far") < F.col("edge")))).alias("done")), "neighbours")
+        good = ranked.where("done").select("a", "b", "rank")
+        out = good if out is None else out.unionByName(good)
+        if last:
+            break
+        left = left.join(good.select("a").distinct(), "a", "left_anti")
+        if not left.limit(1).count():
+            break
+        size *= 2
+    return out.select(F.col("a").alias(key), F.col("b").alias("neighbour"), "rank", F.lit(1.0 / k).alias("weight"))
+
+
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 1024) -> DataFrame:
+    """key, neighbour, rank, weight (1 / k): the k nearest vectors of each query by Euclidean distance, itself left out, ties by key.
+
+    A stated set of queries against all vectors: queries are dealt into blocks, each
+    block meets every vector once in arrays, and each task keeps the k best of a
+    query, so what is shuffled are these. Work is queries times vectors, without a bound.
+    """
+    spark = vectors.sparkSession
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    q = queries.where(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("part"), F.struct(F.col(key).alias("a"), F.col(vector).cast("array<double>").alias("v")).alias("q"))
+    grouped = q.groupBy("part").agg(F.collect_list("q").alias("qs"))
+    v = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("b"), F.col(vector).cast("array<double>").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
+    kind = vectors.schema[key].dataType
+    out = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("d", T.DoubleType())])
+    deal = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.schema([("a", right.schema.field("b").type), ("b", right.schema.field("b").type), ("d", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return empty.empty_table()
+        qs = left["qs"][0].as_py()
+        a, va = [x["a"] for x in qs], np.array([x["v"] for x in qs], dtype=np.float64)
+        b, vb = np.array(right["b"].to_pylist()), np.array(right["w"].to_pylist(), dtype=np.float64)
+        rows: list[tuple] = []
+        for i, name in enumerate(a):
+            d = np.round(((vb - va[i]) ** 2).sum(axis=1), 9)
+            d[b == name] = np.inf
+            best = np.lexsort((b, d))[:k] if len(d) <= 4 * k else (lambda c: c[np.lexsort((b[c], d[c]))][:k])(np.flatnonzero(d <= np.partition(d, k)[k]))
+            rows += [(name, b[j].item(), float(d[j])) for j in best if d[j] < np.inf]
+        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), empty)], schema=empty) if rows else empty.empty_table()
+
+    salted = v.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(deal)).cast("int"))
+    every = grouped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+    near = every.groupBy("part", "salt").cogroup(salted.groupBy("part", "salt")).applyInArrow(run, out)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("rank") <= k)
     return ranked.select(F.col("a").alias(key), F.col("b").alias("neighbour"), "rank", F.lit(1.0 / k).alias("weight"))
 
 

@@ -8,7 +8,7 @@ shuffle on a key instead of comparing all pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MODES = ("historical", "full")
@@ -69,16 +69,19 @@ def join_windows(df: DataFrame, windows: DataFrame, ts: str) -> DataFrame:
 def lookback(fields: DataFrame, observations: DataFrame, keys: list[str], at: str, day: str, value: str, weeks: int = 8) -> DataFrame:
     """For each field (keys, at) and k = 1..weeks: n, total, low and high of the observations in [at - 7k, at).
 
-    Observations are first summed up per key and day, fields are laid out over
-    the days before them, and an equi join on key and day follows; the cumulative
-    windows are built from the k single weeks.
+    Observations are first summed up per key and day; fields stand among these days,
+    and each window is a range of days before a field's. So a key's rows are days,
+    whose number is bounded, and no field is laid out over the days before it.
     """
-    daily = observations.groupBy(*keys, F.to_date(day).alias("__day")).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("low"), F.max(value).alias("high"))
-    laid = fields.select(*keys, F.to_date(at).alias("at")).distinct().select(*keys, "at", F.explode(F.sequence(F.lit(1), F.lit(7 * weeks))).alias("__back"))
-    laid = laid.withColumn("__day", F.date_sub("at", F.col("__back")))
-    weekly = laid.join(daily, [*keys, "__day"]).groupBy(*keys, "at", F.ceil(F.col("__back") / 7).cast("int").alias("__w")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
-    spread = weekly.withColumn("weeks", F.explode(F.sequence("__w", F.lit(weeks))))
-    return spread.groupBy(*keys, "at", "weeks").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
+    number = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
+    daily = observations.groupBy(*keys, number(day).alias("__day")).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("low"), F.max(value).alias("high"))
+    own = fields.select(*keys, F.to_date(at).alias("at")).where("at is not null").distinct().withColumn("__day", number("at"))
+    rows = daily.withColumn("at", F.lit(None).cast("date")).unionByName(own, allowMissingColumns=True)
+    by_day = Window.partitionBy(*keys).orderBy("__day")
+    span = lambda k: by_day.rangeBetween(-7 * k, -1)
+    made = [F.struct(F.lit(k).alias("weeks"), *[f(c).over(span(k)).alias(c) for f, c in ((F.sum, "n"), (F.sum, "total"), (F.min, "low"), (F.max, "high"))]) for k in range(1, weeks + 1)]
+    found = rows.select(*keys, "at", F.array(*made).alias("__w")).where("at is not null")
+    return found.select(*keys, "at", F.inline("__w")).where("n is not null")
 
 
 def days_before(df: DataFrame, at: str, day: str, first: int, last: int) -> DataFrame:

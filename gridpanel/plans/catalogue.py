@@ -177,7 +177,7 @@ FROM c, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) AS q(x, y)""")
 def q11_tile_grid_subtiles(spark, sf_dir):
     k = F.col("p_partkey")
     name = F.format_string("%s%02d%s%03d_%d_%d", F.when(k % 2 == 0, "N").otherwise("S"), k % 60, F.when(k % 3 == 0, "W").otherwise("E"), k % 180, k % 2, F.expr("p_partkey div 2 % 2"))
-    tiles = read(spark, sf_dir, "part").select(name.alias("tile_id")).distinct().where(text.is_tile("tile_id")).withColumn("b", text.tile_bounds("tile_id")).select("tile_id", "b.*")
+    tiles = grid.with_bounds(read(spark, sf_dir, "part").select(name.alias("tile_id")).distinct())
     return grid.quarters(tiles.where(text.bounds_ok("west", "south", "east", "north")))
 
 
@@ -215,14 +215,15 @@ def q14_gapfill_interpolate(spark, sf_dir):
     return rounded(gapfill.fill_months(holes, ["plot"], "month", "v"), ["v"], 4)
 
 
-@query("""WITH p AS (SELECT p_partkey % 200 AS i, p_size % 14 AS class, 0 AS shift FROM part WHERE p_partkey <= 200 UNION ALL SELECT p_partkey % 200, p_size % 14, 20 FROM part WHERE p_partkey > 200 AND p_partkey <= 400),
-m AS (SELECT CAST(i % 20 + shift AS INT) AS px, CAST(i // 20 AS INT) AS py, class FROM p),
-n AS (SELECT CASE WHEN class BETWEEN 0 AND 12 THEN CAST(class AS INT) END AS class, count(*) AS n, count(DISTINCT (px, py)) AS cells FROM m GROUP BY 1)
+@query("""WITH p AS (SELECT p_partkey, p_partkey // 200 AS tile, p_partkey % 200 AS i, p_size % 14 AS class FROM part),
+m AS (SELECT CAST(i % 20 + tile * 20 AS INT) AS px, CAST(i // 20 AS INT) AS py, class FROM p),
+n AS (SELECT CASE WHEN class BETWEEN 0 AND 12 THEN CAST(class AS INT) END AS class, count(*) AS n FROM m GROUP BY 1)
 SELECT k.class, coalesce(n.n, 0) AS n FROM (SELECT CAST(unnest(range(13)) AS INT) AS class) k LEFT JOIN n USING (class) UNION ALL SELECT class, n FROM n WHERE class IS NULL""")
 def q15_class_histogram_mosaic(spark, sf_dir):
-    p = read(spark, sf_dir, "part").where("p_partkey <= 400").select(F.when(F.col("p_partkey") <= 200, "left").otherwise("right").alias("tile"), (F.col("p_partkey") % 200).alias("i"), (F.col("p_size") % 14).cast("int").alias("class"))
+    """All parts as the cells of tiles of 20 x 10, side by side."""
+    p = read(spark, sf_dir, "part").select(F.expr("p_partkey div 200").alias("tile"), (F.col("p_partkey") % 200).alias("i"), (F.col("p_size") % 14).cast("int").alias("class"))
     cells = p.select("tile", (F.col("i") % 20).cast("int").alias("px"), F.expr("cast(i div 20 as int)").alias("py"), "class")
-    tiles = spark.createDataFrame([("left", 0, 0, 20, 10), ("right", 20, 0, 20, 10)], "tile string, x int, y int, w int, h int")
+    tiles = p.groupBy("tile").agg(F.lit(0).alias("y")).select("tile", (F.col("tile") * 20).cast("int").alias("x"), "y", F.lit(20).alias("w"), F.lit(10).alias("h"))
     return composite.histogram(grid.mosaic(cells, tiles), "class", 0, 12)
 
 
@@ -240,17 +241,9 @@ def q16_interval_lookback_1_8w(spark, sf_dir):
 # --- dedup, keys, unions -----------------------------------------------------
 
 
-@query("""WITH s AS (SELECT conv_id, turn, sha256(CAST(to_json([coalesce(role, ''), coalesce(left(text, 12), '')]) AS VARCHAR)) AS signature FROM conversations),
-r AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY conv_id, turn) AS k FROM s) SELECT conv_id, turn, signature FROM r WHERE k = 1""")
-def q17_dedup_exact(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 12).alias("opening"))
-    return ingest.dedup_exact(c, ["role", "opening"], ["conv_id", "turn"]).select("conv_id", "turn", "signature")
-
-
 @query("""WITH s AS (SELECT conv_id, turn, sha256(CAST(to_json([coalesce(role, ''), coalesce(text, '')]) AS VARCHAR)) AS signature FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY conv_id, turn) AS k FROM s) SELECT conv_id, turn, signature FROM r WHERE k = 1""")
-def q17_dedup_exact_whole(spark, sf_dir):
-    """Turns of one role and one whole text, where q17_dedup_exact takes those of one opening."""
+def q17_dedup_exact(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return ingest.dedup_exact(c, ["role", "text"], ["conv_id", "turn"]).select("conv_id", "turn", "signature")
 
@@ -391,12 +384,22 @@ def q28_time_dummies(spark, sf_dir):
     return out.drop("o_orderstatus")
 
 
-@query("""WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 100),
-d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) ** 2)) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), neighbour) AS INT) AS rank FROM d) SELECT vec_id, neighbour, rank, CAST(0.125 AS DOUBLE) AS weight FROM r WHERE rank <= 8""")
+@query("""WITH p AS (SELECT c_custkey, CAST((c_custkey * 7919) % 10007 AS DOUBLE) / 7 AS x, CAST((c_custkey * 104729) % 9973 AS DOUBLE) / 11 AS y FROM customer),
+d AS (SELECT a.c_custkey, b.c_custkey AS neighbour, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d FROM p a JOIN p b ON a.c_custkey <> b.c_custkey),
+r AS (SELECT c_custkey, neighbour, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY d, neighbour) AS INT) AS rank FROM d) SELECT c_custkey, neighbour, rank, CAST(0.125 AS DOUBLE) AS weight FROM r WHERE rank <= 8""")
 def q29_knn_row_standardised(spark, sf_dir):
-    v = read(spark, sf_dir, "embeddings").where("vec_id < 100").select("vec_id", "embedding")
-    return spatial.nearest_neighbours(v, "vec_id", "embedding", 8)
+    """The eight nearest customers of each, by place."""
+    k = F.col("c_custkey")
+    p = read(spark, sf_dir, "customer").select("c_custkey", ((k * 7919 % 10007).cast("double") / 7).alias("x"), ((k * 104729 % 9973).cast("double") / 11).alias("y"))
+    return spatial.nearest_points(p, "c_custkey", 8)
+
+
+@query("""WITH d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) ** 2)) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), neighbour) AS INT) AS rank FROM d) SELECT vec_id, neighbour, rank, CAST(0.125 AS DOUBLE) AS weight FROM r WHERE rank <= 8""")
+def q29_nearest_vectors(spark, sf_dir):
+    """The vectors whose id is divisible by 100 as queries against all vectors."""
+    v = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return spatial.nearest_vectors(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 8)
 
 
 @query("""WITH t AS (SELECT c_custkey, CAST((c_custkey * 37) % 200 AS DOUBLE) AS x, CAST((c_custkey * 53) % 200 AS DOUBLE) AS y FROM customer), s AS (SELECT CAST((s_suppkey * 29) % 200 AS DOUBLE) AS x, CAST((s_suppkey * 41) % 200 AS DOUBLE) AS y, s_acctbal AS v FROM supplier),
@@ -554,26 +557,18 @@ def q43_night_light_cleaning(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", r6(quality.night_light(raw, F.when(k % 7 == 1, 1).otherwise(0), (k % 200).cast("double"), F.when(k % 11 == 0, 0.0).otherwise(1.0))).alias("radiance"))
 
 
-@query("""WITH k AS (SELECT unnest(range(12)) AS m, CAST(n_nationkey AS INT) AS t FROM nation), f AS (SELECT DISTINCT CAST(month(o_orderdate) - 1 AS INT) AS m, CAST(o_custkey % 25 AS INT) AS t FROM orders WHERE o_custkey % 4 <> 0)
+@query("""WITH k AS (SELECT unnest(range(12)) AS m, CAST(n_nationkey AS INT) AS t FROM nation), f AS (SELECT DISTINCT CAST(month(o_orderdate) - 1 AS INT) AS m, CAST(o_custkey % 25 AS INT) AS t FROM orders WHERE (o_custkey + month(o_orderdate)) % 5 <> 0)
 SELECT CAST(k.m AS INT) AS m, k.t FROM k LEFT JOIN f ON f.m = k.m AND f.t = k.t WHERE f.t IS NULL""")
 def q44_missing_granules(spark, sf_dir):
     tiles = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("t"))
     needed = windows.tiles_by_month(tiles, spark.range(12).select(F.col("id").cast("int").alias("m")))
-    found = read(spark, sf_dir, "orders").where("o_custkey % 4 <> 0").select((F.month("o_orderdate") - 1).alias("m"), (F.col("o_custkey") % 25).cast("int").alias("t"))
+    found = read(spark, sf_dir, "orders").where("(o_custkey + month(o_orderdate)) % 5 <> 0").select((F.month("o_orderdate") - 1).alias("m"), (F.col("o_custkey") % 25).cast("int").alias("t"))
     return assemble.missing_keys(needed, found, ["m", "t"]).select("m", "t")
 
 
-@query("""WITH t AS (SELECT p_partkey AS tile, (p_partkey * 37) % 4000 AS x, (p_partkey * 61) % 3000 AS y FROM part WHERE p_partkey <= 200)
-SELECT a.tile AS a, b.tile AS b FROM t a JOIN t b ON a.tile < b.tile AND a.x < b.x + 150 AND b.x < a.x + 150 AND a.y < b.y + 90 AND b.y < a.y + 90""")
-def q45_tile_overlaps(spark, sf_dir):
-    t = read(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("tile"), (F.col("p_partkey") * 37 % 4000).alias("x"), (F.col("p_partkey") * 61 % 3000).alias("y"), F.lit(150).alias("w"), F.lit(90).alias("h"))
-    return grid.overlaps(t, block=256)
-
-
 @query("""WITH t AS (SELECT p_partkey AS tile, (p_partkey * 37) % 4000 AS x, (p_partkey * 61) % 3000 AS y FROM part)
 SELECT a.tile AS a, b.tile AS b FROM t a JOIN t b ON a.tile < b.tile AND a.x < b.x + 150 AND b.x < a.x + 150 AND a.y < b.y + 90 AND b.y < a.y + 90""")
-def q45_tile_overlaps_whole(spark, sf_dir):
-    """All parts as tiles, where q45_tile_overlaps takes the first 200."""
+def q45_tile_overlaps(spark, sf_dir):
     t = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("tile"), (F.col("p_partkey") * 37 % 4000).alias("x"), (F.col("p_partkey") * 61 % 3000).alias("y"), F.lit(150).alias("w"), F.lit(90).alias("h"))
     return grid.overlaps(t, block=256)
 

@@ -2,6 +2,8 @@
 
 import datetime
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,8 +95,49 @@ def test_more_features(spark):
 def test_lookup_order(spark):
     df = spark.createDataFrame([(2.0, 1.0, "b", "X"), (1.0, 5.0, "a", "X"), (2.0, 1.0, "b", "X")], "lon double, lat double, gid_1 string, country string")
     assert [tuple(r) for r in ingest.lookup(df).collect()] == [(1.0, 5.0, "a", "X"), (2.0, 1.0, "b", "X")]
-    with pytest.raises(ValueError):
-        spatial.nearest_neighbours(spark.range(10).select("id", F.array(F.lit(1.0)).alias("v")), "id", "v", 2, bounded=5)
+
+
+def plain_nearest(points, k):
+    return {(a, b, r + 1) for a, x, y in points for r, (_, b) in enumerate(sorted(((x - u) ** 2 + (y - v) ** 2, b) for b, u, v in points if b != a)[:k])}
+
+
+def test_nearest_points_are_all_pairs_nearest(spark):
+    """Clusters, ties, points at one place, far ones, fewer than k, none."""
+    rng = random.Random(3)
+    clusters = [(i, rng.gauss(0, 0.01) + 50 * (i % 3), rng.gauss(0, 0.01)) for i in range(150)] + [(1000, 1e6, -1e6), (1001, 3.0, 3.0)]
+    lattice = [(i, float(i % 7), float(i // 7)) for i in range(49)]
+    line = [(i, float(2**i), 0.0) for i in range(30)]
+    for points, k in ((clusters, 8), (lattice, 4), (line, 3), ([(i, 1.0, 2.0) for i in range(12)], 5), ([(1, 0.0, 0.0), (2, 5.0, 5.0)], 8), ([(7, 1.0, 1.0)], 2)):
+        df = spark.createDataFrame(points + [(5000, None, 1.0)], "id long, x double, y double")
+        rows = spatial.nearest_points(df, "id", k).collect()
+        assert {(r["id"], r["neighbour"], r["rank"]) for r in rows} == plain_nearest(points, k) and len(rows) == len(plain_nearest(points, k))
+    assert spatial.nearest_points(spark.createDataFrame([], "id long, x double, y double"), "id", 2).collect() == []
+
+
+def test_nearest_vectors_in_blocks(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(120)] + [(500, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+    want = {(a, b, n + 1) for a, x in rows[:30] for n, (_, b) in enumerate(sorted((round(sum((p - q) ** 2 for p, q in zip(x, y)), 9), b) for b, y in rows[:120] if b != a)[:4])}
+    for block in (7, 1024):
+        got = spatial.nearest_vectors(df.where("id < 30"), df, "id", "v", 4, block=block).collect()
+        assert {(r["id"], r["neighbour"], r["rank"]) for r in got} == want
+
+
+def test_sigma_filter_in_blocks(spark):
+    """The same for any size of the blocks, and as the definition has it."""
+    rng = random.Random(5)
+    cells = {(x, y): None if rng.random() < 0.1 else float(rng.randrange(1, 30)) for x in range(-3, 14) for y in range(11) if rng.random() < 0.9}
+    df = spark.createDataFrame([(x, y, v) for (x, y), v in cells.items()], "px int, py int, v double")
+    want = {}
+    for (x, y), v in cells.items():
+        near = [(cells[x + i, y + j], max(abs(i), abs(j)) <= 1) for i in range(-2, 3) for j in range(-2, 3) if cells.get((x + i, y + j)) is not None]
+        inside = [w for w, _ in near if v is not None and abs(w - v) <= abs(v)]
+        by = [w for w, next_ in near if next_]
+        want[x, y] = None if v is None else round(sum(inside) / len(inside) if len(inside) >= 4 else sum(by) / len(by), 9)
+    for block in (4, 256):
+        got = {(r["px"], r["py"]): r["v"] for r in grid.sigma_filter(df, "v", radius=2, block=block).collect()}
+        assert {k: None if v is None else round(v, 9) for k, v in got.items()} == want
 
 
 @pytest.mark.parametrize("kind", ["lag", "error"])
