@@ -96,6 +96,11 @@ def counters(raw: DataFrame, regions: DataFrame, start: str, end: str) -> DataFr
     return a.crossJoin(b)
 
 
+def by_satellite(raw: DataFrame) -> DataFrame:
+    """satellite (null for an unknown one), rows and bad rows."""
+    return normalized(raw).groupBy("satellite").agg(F.count("*").alias("rows"), F.count("problem").alias("bad"))
+
+
 def lookup(df: DataFrame) -> DataFrame:
     """Distinct locations with their region, in order."""
     return df.select("lon", "lat", "gid_1", "country").distinct().orderBy("lon", "lat")

@@ -100,6 +100,25 @@ def assemble(parts: list[DataFrame], extra: DataFrame, radar: DataFrame, crops:
     return out.dropna("any", subset=needed).join(crops, [k for k in keys if k in crops.columns], "inner")
 
 
+def with_static(df: DataFrame, static: DataFrame, cell: tuple[str, ...] = ("px", "py")) -> DataFrame:
+    """A band without time, such as elevation, beside every month of its cell; cells without it get null."""
+    return df.join(static, list(cell), "left")
+
+
+def aligned(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The columns of all parts side by side, matched by key and not by position; a key that a part lacks, or has twice, is an error when read."""
+    marked = [p.groupBy(*keys).agg(F.count("*").alias(f"__n{i}"), *[F.first(c).alias(c) for c in p.columns if c not in keys]) for i, p in enumerate(parts)]
+    out = marked[0]
+    for p in marked[1:]:
+        out = out.join(p, keys, "full")
+    whole = F.lit(True)
+    for i in range(len(parts)):
+        whole = whole & (F.coalesce(F.col(f"__n{i}"), F.lit(0)) == 1)
+    names = [c for p in parts for c in p.columns if c not in keys]
+    first = F.when(whole, F.col(keys[0])).otherwise(F.raise_error(F.lit("parts are not aligned")).cast(out.schema[keys[0]].dataType))
+    return out.select(first.alias(keys[0]), *keys[1:], *names)
+
+
 def downcast(df: DataFrame) -> DataFrame:
     """Doubles as floats and longs as ints where all values fit; one pass for the ranges."""
     longs = [f.name for f in df.schema.fields if f.dataType.simpleString() == "bigint"]

@@ -1,14 +1,13 @@
 """The rest of the operators."""
 
 import datetime
-
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from gridpanel.functions import indices, quality
-from gridpanel.operators import calendar, composite, grid, ingest, panel, regress, spatial, windows
+from gridpanel.functions import dates, indices, quality, text
+from gridpanel.operators import calendar, compare, composite, grid, ingest, panel, regress, spatial, windows
 from gridpanel.sources import readers, writers
 
 D = datetime.date
@@ -188,3 +187,38 @@ def test_interpolation_against_numpy(spark):
     for r in gapfill.fill_months(df, ["k"], "m", "v").where("month >= '2017-01-01'").orderBy("k", "month").collect():
         got.setdefault(r["k"], []).append(r["v"])
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_utm_and_back(spark):
+    df = spark.createDataFrame([(105.3, 21.1), (102.0, -3.5), (108.9, 60.2), (105.0, 0.0)], "lon double, lat double")
+    m = df.select("lon", "lat", spatial.utm("lon", "lat").alias("m")).select("lon", "lat", spatial.from_utm("m.x", "m.y").alias("b"), spatial.utm_box("lon", "lat", 5.0).alias("box")).collect()
+    for r in m:
+        assert r["b"]["lon"] == pytest.approx(r["lon"], abs=1e-7) and r["b"]["lat"] == pytest.approx(r["lat"], abs=1e-7)
+        assert r["box"]["west"] < r["lon"] < r["box"]["east"] and r["box"]["south"] < r["lat"] < r["box"]["north"]
+        assert (r["box"]["north"] - r["box"]["south"]) * 111_000 == pytest.approx(10, rel=0.1)
+
+
+def test_aligned_parts_and_masks(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k long, a string"), spark.createDataFrame([(2, 5), (1, None)], "k long, b long")
+    assert {tuple(r) for r in panel.aligned([a, b], ["k"]).collect()} == {(1, "x", None), (2, "y", 5)}
+    for bad in (b.where("k = 1"), b.union(b)):
+        with pytest.raises(Exception, match="not aligned"):
+            panel.aligned([a, bad], ["k"]).collect()
+    cells = spark.createDataFrame([(0, 0), (5, 0)], "px int, py int")
+    mask = spark.createDataFrame([(0, 0, 7)], "px int, py int, class int")
+    assert {r["px"]: r["class"] for r in grid.warp_mask(cells, mask, 0.0, 1.0, 0.5, 0.0, 1.0, 1.0, "class").collect()} == {0: 7, 5: None}
+    with pytest.raises(Exception, match="no mask"):
+        grid.warp_mask(cells, mask, 0.0, 1.0, 0.5, 0.0, 1.0, 1.0, "class", strict=True).collect()
+
+
+def test_profile_with_distinct(spark):
+    df = spark.createDataFrame([("1", 0.0), ("a", 2.0), (None, None), ("a", 2.0)], "t string, v double")
+    rows = {r["column"]: tuple(r)[1:] for r in compare.profile(df, ["t", "v"], distinct=True).collect()}
+    assert rows == {"t": (4, 1, 0, 2, 2), "v": (4, 1, 1, 0, 2)}
+    assert {tuple(r) for r in compare.diff_summary(compare.keyed_diff(df.where("t = '1'"), df.where("t = 'a'").limit(1), ["t"], ["v"])).collect()} == {("missing", None, 1), ("extra", None, 1)}
+
+
+def test_names_and_ranges(spark):
+    assert text.column_name(" a-b.c ") == "a_b_c"
+    row = spark.range(1).select(dates.day_range(F.lit(D(2024, 1, 1)), F.lit(D(2024, 1, 3))).alias("d"), dates.weekly_range(F.lit(D(2024, 1, 1)), F.lit(D(2024, 1, 15))).alias("w"), dates.month_range(F.lit("2024-11"), F.lit("2025-01")).alias("m"), indices.ndvi_strict(F.lit(3.0), F.lit(1.0)).alias("n")).first()
+    assert row["d"] == [D(2024, 1, 1), D(2024, 1, 2), D(2024, 1, 3)] and row["w"] == [D(2024, 1, 1), D(2024, 1, 8), D(2024, 1, 15)] and row["m"] == ["2024-11", "2024-12", "2025-01"] and row["n"] == 0.5

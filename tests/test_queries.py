@@ -24,8 +24,8 @@ def test_entry(spark):
 
 
 def test_joins_are_equi_joins(spark, medium):
-    """No query compares all pairs but the three that say so: neighbours of a bounded set, centroids of nations, tiles by months."""
-    allowed = {"q29_knn_row_standardised", "q31_centroid_distance", "q44_missing_granules", "q26_panel_impute_log"}
+    """No query compares all pairs but those that say so: centroids of nations, tiles by months; the imputation joins one row."""
+    allowed = {"q31_centroid_distance", "q44_missing_granules", "q26_panel_impute_log"}
     for name, f in catalogue.QUERIES.items():
         plan = f(spark, medium)._jdf.queryExecution().executedPlan().toString()
         if name not in allowed:
@@ -36,5 +36,10 @@ def test_joins_are_equi_joins(spark, medium):
 def test_filters_and_columns_reach_the_scan(spark, medium):
     plan = catalogue.QUERIES["q40_season_windows"](spark, medium)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_totalprice:double,o_orderdate:timestamp_ntz>" in plan
-    plan = catalogue.QUERIES["q29_knn_row_standardised"](spark, medium)._jdf.queryExecution().executedPlan().toString()
-    assert "LessThan(vec_id,100)" in plan
+    plan = catalogue.QUERIES["q53_tile_month_folders"](spark, medium)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "1996-03" in plan
+
+
+def test_queries_return_rows(spark, medium):
+    """No query agrees with its SQL because both are empty."""
+    assert [n for n in sorted(catalogue.ORACLE_SQL) if catalogue.QUERIES[n](spark, medium).limit(1).count() == 0] == []
