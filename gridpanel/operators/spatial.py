@@ -129,25 +129,38 @@ def utm(lon, lat, meridian: float = 105.0, scale: float = UTM_SCALE) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value made once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def from_utm(x, y, meridian: float = 105.0, scale: float = UTM_SCALE) -> Column:
     """lon, lat of a place in metres, the other way round than utm() (Snyder's series)."""
     e2 = FLATTENING * (2 - FLATTENING)
     ep2, e1 = e2 / (1 - e2), (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
     mu = _c(y) / scale / (A * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
-    phi = mu + F.sin(mu * 2) * (3 * e1 / 2 - 27 * e1**3 / 32) + F.sin(mu * 4) * (21 * e1**2 / 16 - 55 * e1**4 / 32) + F.sin(mu * 6) * (151 * e1**3 / 96) + F.sin(mu * 8) * (1097 * e1**4 / 512)
-    root = F.lit(1.0) - F.pow(F.sin(phi), 2) * e2
-    n, r = F.lit(A) / F.sqrt(root), F.lit(A * (1 - e2)) / F.pow(root, 1.5)
-    t, c, d = F.pow(F.tan(phi), 2), F.pow(F.cos(phi), 2) * ep2, (_c(x) - UTM_EAST) / (n * scale)
-    lat = phi - n * F.tan(phi) / r * (d * d / 2 - (t * 3 + 5 + c * 10 - c * c * 4 - 9 * ep2) * F.pow(d, 4) / 24 + (t * 90 + 61 + c * 298 + t * t * 45 - 252 * ep2 - c * c * 3) * F.pow(d, 6) / 720)
-    lam = (d - (t * 2 + 1 + c) * F.pow(d, 3) / 6 + (F.lit(5.0) - c * 2 + t * 28 - c * c * 3 + 8 * ep2 + t * t * 24) * F.pow(d, 5) / 120) / F.cos(phi)
-    return F.struct((F.degrees(lam) + meridian).alias("lon"), F.degrees(lat).alias("lat"))
+    foot = lambda m: m + F.sin(m * 2) * (3 * e1 / 2 - 27 * e1**3 / 32) + F.sin(m * 4) * (21 * e1**2 / 16 - 55 * e1**4 / 32) + F.sin(m * 6) * (151 * e1**3 / 96) + F.sin(m * 8) * (1097 * e1**4 / 512)
+    root = lambda phi: F.lit(1.0) - F.pow(F.sin(phi), 2) * e2
+
+    def terms(phi: Column) -> Column:
+        n = F.lit(A) / F.sqrt(root(phi))
+        return F.struct(phi.alias("phi"), (n * F.tan(phi) / (F.lit(A * (1 - e2)) / F.pow(root(phi), 1.5))).alias("q"), F.pow(F.tan(phi), 2).alias("t"), (F.pow(F.cos(phi), 2) * ep2).alias("c"), ((_c(x) - UTM_EAST) / (n * scale)).alias("d"))
+
+    def place(p: Column) -> Column:
+        t, c, d = p["t"], p["c"], p["d"]
+        lat = p["phi"] - p["q"] * (d * d / 2 - (t * 3 + 5 + c * 10 - c * c * 4 - 9 * ep2) * F.pow(d, 4) / 24 + (t * 90 + 61 + c * 298 + t * t * 45 - 252 * ep2 - c * c * 3) * F.pow(d, 6) / 720)
+        lam = (d - (t * 2 + 1 + c) * F.pow(d, 3) / 6 + (F.lit(5.0) - c * 2 + t * 28 - c * c * 3 + 8 * ep2 + t * t * 24) * F.pow(d, 5) / 120) / F.cos(p["phi"])
+        return F.struct((F.degrees(lam) + meridian).alias("lon"), F.degrees(lat).alias("lat"))
+
+    return _bound(mu, lambda m: _bound(foot(m), lambda phi: _bound(terms(phi), place)))
 
 
 def utm_box(lon, lat, distance: float = 5.0, meridian: float = 105.0) -> Column:
     """west, south, east, north of the square buffer at a distance in UTM metres about a place: the bounds of its corners."""
-    m = utm(lon, lat, meridian)
-    corners = [from_utm(m["x"] + sx * distance, m["y"] + sy * distance, meridian) for sx in (-1, 1) for sy in (-1, 1)]
-    return F.struct(F.least(*[p["lon"] for p in corners]).alias("west"), F.least(*[p["lat"] for p in corners]).alias("south"), F.greatest(*[p["lon"] for p in corners]).alias("east"), F.greatest(*[p["lat"] for p in corners]).alias("north"))
+    corners = F.array(*[F.struct(F.lit(float(sx * distance)).alias("x"), F.lit(float(sy * distance)).alias("y")) for sx in (-1, 1) for sy in (-1, 1)])
+    points = _bound(utm(lon, lat, meridian), lambda m: F.transform(corners, lambda o: from_utm(m["x"] + o["x"], m["y"] + o["y"], meridian)))
+    edge = lambda p, f, c: f(F.transform(p, lambda q: q[c]))
+    return _bound(points, lambda p: F.struct(edge(p, F.array_min, "lon").alias("west"), edge(p, F.array_min, "lat").alias("south"), edge(p, F.array_max, "lon").alias("east"), edge(p, F.array_max, "lat").alias("north")))
 
 
 def web_mercator(lon, lat) -> Column:

@@ -229,6 +229,13 @@ def q68_square_buffers(spark, sf_dir):
     return rounded(boxes.select("c_custkey", "west", "south", "east", "north"), ["west", "south", "east", "north"], 9)
 
 
+@query()
+def q68_utm_boxes(spark, sf_dir):
+    """The box of a buffer of five UTM metres about each customer; without SQL, as DuckDB would need the whole series of both projections."""
+    p = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 37 % 60 / 10.0 + 102).alias("lon"), (F.col("c_custkey") * 53 % 300 / 10.0).alias("lat"))
+    return p.select("c_custkey", spatial.utm_box("lon", "lat").alias("b")).select("c_custkey", "b.*")
+
+
 @query("""SELECT p_partkey, CAST(100 + px * 0.05 AS DOUBLE) AS west, CAST(20 - (py + 1) * 0.05 AS DOUBLE) AS south, CAST(100 + (px + 1) * 0.05 AS DOUBLE) AS east, CAST(20 - py * 0.05 AS DOUBLE) AS north FROM (SELECT p_partkey, p_partkey % 40 AS px, p_partkey // 40 AS py FROM part)""")
 def q69_cell_boxes(spark, sf_dir):
     cells = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 40).alias("px"), F.expr("p_partkey div 40").alias("py"))
