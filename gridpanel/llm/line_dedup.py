@@ -1,4 +1,11 @@
-"""Line dedup: winnowed fingerprints of line runs, joined on position, extended both ways; later repeats are deleted."""
+"""Line dedup: winnowed fingerprints of line runs, joined on position; later repeats are deleted.
+
+A match of a fingerprint isn't extended pair by pair, as that would cost the pairs
+of a frequent run. Instead each text brings the shortest runs of enough words around
+its fingerprints: what two texts have in common beyond them is a chain of such runs,
+so the lines that equal runs cover are those that extending every match both ways
+as far as it goes would cover. The tests hold this against all pairs, extended.
+"""
 
 from __future__ import annotations
 

@@ -10,6 +10,7 @@ from .common import table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document: see mixing.taken() for nulls, repeated rows and ties. slots and first_slot come besides."""
     return mixing.taken(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
@@ -29,32 +30,39 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of each whole text; a null text is an empty one with none, repeated rows and null ids are rows like any other."""
     import public_tokenizers
 
     return tokens.count_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), ["doc_id"])
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives written and read back: see warc.archive(); null html is an empty payload, of equal payloads the largest page_id is the response."""
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each whole text: empty and null texts get the lowest score, long ones that of their most toxic words, repeated rows the same one."""
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans in code points of each whole text; a null or empty one has none, repeated rows and null ids are rows like any other."""
     return pii.report(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, share, tiles and longest tile of each document that holds an item: see decontam.leaks() for nulls, ties and repeated rows."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or the trees' verdict of each URL, with the score besides: see urls.judged() for null and odd URLs and repeated rows."""
     return urls.judged(table(spark, sf_dir, "pages"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document: see simhash.cluster() for texts without a word, null ids and repeated rows."""
     return simhash.cluster(table(spark, sf_dir, "documents"))
 
 

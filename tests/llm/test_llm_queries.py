@@ -1,5 +1,7 @@
 """The registered queries: names, columns, SQL, and the pipeline."""
 
+import random
+
 import oracle
 import pytest
 
@@ -50,3 +52,20 @@ def test_pipeline(spark, small):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, small).count() == 0, name
+
+
+def test_stages_in_a_row_over_odd_rows(spark, small):
+    """Nulls in every column, repeated rows, empty and very long texts, clashing names, one stage after the other."""
+    rng = random.Random(2)
+    words = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    long = words(60_000)
+    rows = [(1, long, "en", "a"), (2, words(200), None, None), (None, words(200), "en", "b"), (3, None, "en", "a"), (4, "", None, "a"), (5, " \n\t", "en", None), (6, "one", "en", "b"), (7, "x" * 100_000, "en", "b"), (8, "same text here again " * 30, "en", "a"), (8, "same text here again " * 30, "en", "a"), (9, None, None, None)]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "k", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, __key string, __gp_id long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = spark.createDataFrame(stage(spark, docs, small).collect(), stage(spark, docs.limit(0), small).schema)
+        assert out.columns[: len(docs.columns)] == docs.columns and {(r["__key"], r["__gp_id"]) for r in out.collect()} <= {("k", 1)}, name
+        if name != "mixing":
+            assert {None, 1, 2, 6, 7} <= {r["doc_id"] for r in out.collect()}, name
+            assert {r["text"] for r in out.collect() if r["doc_id"] == 1} == {long}, name
+            docs = out
+    assert out.count() > 0
