@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, indices, quality, text
 from ..operators import assemble, compare, composite, grid, ingest, panel, spatial
-from ..sources import readers, scratch, writers
+from ..sources import raster, readers, scratch, writers
+from ..streaming import replay
 from .catalogue import _RAW, _boxes, _raw, query, r6, read, rounded
 
 # --- files written and read back -----------------------------------------------
@@ -101,6 +102,31 @@ def q60_collection(spark, sf_dir):
     return found.groupBy(dates.month_label("ts").alias("month")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT tile, CAST(count(*) AS BIGINT) AS cells, round(sum(v), 4) AS total, round(min(tile * 2.0 + (px + 0.5) * 0.1), 6) AS first_lon, round(max(50 - (py + 0.5) * 0.1), 6) AS first_lat FROM (SELECT p_partkey // 200 AS tile, p_partkey % 20 AS px, (p_partkey % 200) // 20 AS py, p_retailprice AS v FROM part WHERE p_size % 9 <> 0) GROUP BY 1""")
+def q73_raster_files(spark, sf_dir):
+    """Parts as GeoTIFF tiles of 20 x 10 cells, some without data, written and read back."""
+    path, k = scratch.folder(spark, "rasters"), F.col("p_partkey")
+    tile = F.expr("p_partkey div 200")
+    cells = read(spark, sf_dir, "part").select(tile.alias("tile"), (k % 20).cast("int").alias("px"), F.expr("cast(p_partkey % 200 div 20 as int)").alias("py"), (tile * 2.0).alias("west"), F.lit(50.0).alias("north"), F.when(F.col("p_size") % 9 != 0, F.col("p_retailprice")).alias("v"))
+    raster.write_tiles(raster.encode_tiles(cells, "tile", ["v"], 20, 10, 0.1, 0.1, kind="float64"), path)
+    back = raster.read_cells(spark, path, pattern="part-*")
+    # a tile's number is in its place, as the files' names are the writer's
+    named = back.withColumn("tile", F.floor(F.col("lon") / 2).cast("long"))
+    return named.groupBy("tile").agg(F.count("*").alias("cells"), r6(F.sum("value"), 4).alias("total"), r6(F.min("lon")).alias("first_lon"), r6(F.max("lat")).alias("first_lat"))
+
+
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) SELECT start, event_type, n, total FROM w WHERE start + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def q74_stream_windows(spark, sf_dir):
+    """Events as a stream in windows of seven days; those that the watermark has passed."""
+    schema = read(spark, sf_dir, "events").select("event_type", "value", "ts").schema
+    path = scratch.folder(spark, "events")
+    read(spark, sf_dir, "events").select("event_type", "value", "ts").coalesce(1).write.parquet(path)
+    out, state = scratch.folder(spark, "windows"), scratch.folder(spark, "state")
+    replay.drain(replay.windowed(replay.events(spark, path, schema), ["event_type"], "value"), out, state)
+    back = spark.read.parquet(out)
+    return back.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r6("total", 4).alias("total"))
+
+
 # --- checks and comparisons ------------------------------------------------------
 
 
@@ -229,6 +255,21 @@ def q68_square_buffers(spark, sf_dir):
     return rounded(boxes.select("c_custkey", "west", "south", "east", "north"), ["west", "south", "east", "north"], 9)
 
 
+@query("""WITH k AS (SELECT 6378137.0::DOUBLE AS a, (1 / 298.257223563) * (2 - 1 / 298.257223563) AS e2), c AS (SELECT n_name AS gid, 100 + (n_nationkey % 5) * 2 + 1.0::DOUBLE AS lon, 8 + (n_nationkey // 5) * 3 + 1.5::DOUBLE AS lat FROM nation),
+t AS (SELECT gid, a, e2, e2 / (1 - e2) AS ep2, radians(lat) AS phi, a / sqrt(1 - e2 * sin(radians(lat)) ** 2) AS n, tan(radians(lat)) ** 2 AS t, e2 / (1 - e2) * cos(radians(lat)) ** 2 AS c, cos(radians(lat)) * radians(lon - 105) AS d FROM c, k),
+m AS (SELECT *, a * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256) * phi - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024) * sin(2 * phi) + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024) * sin(4 * phi) - 35 * e2 ** 3 / 3072 * sin(6 * phi)) AS m FROM t),
+p AS (SELECT gid, 0.9996 * n * (d + (1 - t + c) * d ** 3 / 6 + (5 - 18 * t + t ** 2 + 72 * c - 58 * ep2) * d ** 5 / 120) + 500000 AS x, 0.9996 * (m + n * tan(phi) * (d ** 2 / 2 + (5 - t + 9 * c + 4 * c ** 2) * d ** 4 / 24 + (61 - 58 * t + t ** 2 + 600 * c - 330 * ep2) * d ** 6 / 720)) AS y FROM m)
+SELECT f.gid AS "from", g.gid AS "to", round(sqrt((f.x - g.x) ** 2 + (f.y - g.y) ** 2) / 1000, 6) AS km FROM p f JOIN p g ON f.gid < g.gid""")
+def q31_projected_distance(spark, sf_dir):
+    """Kilometres between the centroids of boxes in degrees, in the transverse Mercator projection about 105 degrees east."""
+    k = F.col("n_nationkey")
+    x, y = k % 5 * 2 + 100, F.floor(k / 5) * 3 + 8
+    boxes = read(spark, sf_dir, "nation").select(F.col("n_name").alias("gid"), spatial.box(x, y, x + 2, y + 3).alias("rings"))
+    p = boxes.select("gid", spatial.centroid().alias("c")).select("gid", spatial.utm("c.x", "c.y").alias("m")).select("gid", "m.x", "m.y")
+    a, b = p.alias("a"), F.broadcast(p.alias("b"))  # a row per nation
+    return a.join(b, F.col("a.gid") < F.col("b.gid")).select(F.col("a.gid").alias("from"), F.col("b.gid").alias("to"), r6(spatial.planar_distance("a.x", "a.y", "b.x", "b.y") / 1000).alias("km"))
+
+
 @query()
 def q68_utm_boxes(spark, sf_dir):
     """The box of a buffer of five UTM metres about each customer; without SQL, as DuckDB would need the whole series of both projections."""

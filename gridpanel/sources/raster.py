@@ -115,7 +115,7 @@ def encode(values: np.ndarray, west: float, north: float, dx: float, dy: float,
     return head + struct.pack("<I", 0) + extra + b"".join(blocks)
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
+def read_headers(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFrame:
     """path, bands, height, width, west, north, dx, dy, nodata of every raster; cells are not kept."""
     schema = "path string, bands int, height int, width int, west double, north double, dx double, dy double, nodata double"
 
@@ -129,15 +129,21 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.string(), *[pa.int32()] * 3, *[pa.float64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return _files(spark, path).mapInArrow(run, schema)
+    return _files(spark, path, pattern).mapInArrow(run, schema)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """Whole files; the setting, which bounds the batches that they travel in, is the session's and stays."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 
-def read_cells(spark: SparkSession, path: str, keep_nodata: bool = False) -> DataFrame:
+def write_tiles(tiles: DataFrame, path: str, content: str = "content") -> None:
+    """A file per row of encode_tiles(), part-*, by Spark's text writer; the line feed after the last byte is outside of the raster."""
+    tiles.select(F.col(content).cast("string").alias("value")).write.mode("errorifexists").option("maxRecordsPerFile", 1).text(path)
+
+
+def read_cells(spark: SparkSession, path: str, keep_nodata: bool = False, pattern: str = "*.tif") -> DataFrame:
     """path, band (from 1), px, py, lon, lat (cell centres; null without a place), value: a row per cell with data."""
     schema = "path string, band int, px int, py int, lon double, lat double, value double"
 
@@ -157,7 +163,7 @@ def read_cells(spark: SparkSession, path: str, keep_nodata: bool = False) -> Dat
                         lat = pa.array(r.north - (py + 0.5) * r.dy) if r.dy else none
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(px), pa.string()), pa.array(np.full(len(px), band, np.int32)), pa.array(px.astype(np.int32)), pa.array(py.astype(np.int32)), lon, lat, pa.array(value)], names=["path", "band", "px", "py", "lon", "lat", "value"])
 
-    return _files(spark, path).mapInArrow(run, schema)
+    return _files(spark, path, pattern).mapInArrow(run, schema)
 
 
 def encode_tiles(cells: DataFrame, key: str, bands: list[str], width: int, height: int, dx: float, dy: float, nodata: float = -9999.0, kind: str = "float32") -> DataFrame:

@@ -25,7 +25,7 @@ def test_entry(spark):
 
 def test_joins_are_equi_joins(spark, medium):
     """No query compares all pairs but those that say so: centroids of nations, tiles by months; the imputation joins one row."""
-    allowed = {"q31_centroid_distance", "q44_missing_granules", "q26_panel_impute_log"}
+    allowed = {"q31_centroid_distance", "q31_projected_distance", "q44_missing_granules", "q26_panel_impute_log"}
     for name, f in catalogue.QUERIES.items():
         plan = f(spark, medium)._jdf.queryExecution().executedPlan().toString()
         if name not in allowed:
