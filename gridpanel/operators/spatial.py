@@ -268,14 +268,20 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str, vector: st
 def decay(targets: DataFrame, sources: DataFrame, key: str, value: str, reach: float, x: str = "x", y: str = "y") -> DataFrame:
     """key, inv, inv2: sums of value / d and value / d^2 over the sources within reach, none at distance 0.
 
-    Both sides meet in cells of the reach's size and their eight neighbours.
+    Sources at one place are one with the sum of their values, and a place of
+    several targets is worked out once, so work grows with the pairs of different
+    places. Places meet in cells of the reach's size and their eight neighbours.
     """
     c = lambda v: F.floor(F.col(v) / reach)
     step = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    t = targets.select(key, F.col(x).alias("tx"), F.col(y).alias("ty"), c(x).alias("bx"), c(y).alias("by"))
-    s = sources.select(F.col(x).alias("sx"), F.col(y).alias("sy"), F.col(value).alias("v"), F.explode(step).alias("o"), c(x).alias("cx"), c(y).alias("cy"))
+    at = targets.select(F.col(key).alias("__key"), F.col(x).alias("tx"), F.col(y).alias("ty"))
+    t = at.select("tx", "ty").distinct().select("*", c("tx").alias("bx"), c("ty").alias("by"))
+    s = sources.groupBy(F.col(x).alias("sx"), F.col(y).alias("sy")).agg(F.sum(F.col(value).cast("double")).alias("v"))
+    s = s.select("*", F.explode(step).alias("o"), c("sx").alias("cx"), c("sy").alias("cy"))
     s = s.select("sx", "sy", "v", (F.col("cx") + F.col("o.i")).alias("bx"), (F.col("cy") + F.col("o.j")).alias("by"))
     d = planar_distance("tx", "ty", "sx", "sy")
     near = t.join(s, ["bx", "by"]).withColumn("d", d).where((F.col("d") > 0) & (F.col("d") <= reach))
-    summed = near.groupBy(key).agg(F.sum(F.col("v") / F.col("d")).alias("inv"), F.sum(F.col("v") / (F.col("d") * F.col("d"))).alias("inv2"))
-    return targets.select(key).distinct().join(summed, key, "left").select(key, F.coalesce("inv", F.lit(0.0)).alias("inv"), F.coalesce("inv2", F.lit(0.0)).alias("inv2"))
+    summed = near.groupBy("tx", "ty").agg(F.sum(F.col("v") / F.col("d")).alias("inv"), F.sum(F.col("v") / (F.col("d") * F.col("d"))).alias("inv2"))
+    # no row of a null key counts, as in an equi join
+    total = lambda n: F.coalesce(F.sum(F.when(F.col("__key").isNotNull(), F.col(n))), F.lit(0.0)).alias(n)
+    return at.join(summed, ["tx", "ty"], "left").groupBy(F.col("__key").alias(key)).agg(total("inv"), total("inv2"))
