@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard, join_hot, kept, small_batches
@@ -24,10 +24,8 @@ from .components import components
 #: Scales of the pyramid, radius of a patch, tests of a descriptor, tables (directions to the next corner) and sampled bits of each of a key's two corners.
 SCALES, RADIUS, TESTS = (1.0, 1.4142135623730951, 2.0), 9, 128
 TABLES, KEY_BITS = 4, 26
-#: Share of the smaller picture's keys with which two pictures are sure to be compared, and keys that compared ones have in common at least.
-SURE, COMMON = 0.3, 2
-#: Besides, a picture looks for others by its rarest keys, so many of those that no more pictures than that have.
-RAREST, RARE = 32, 64
+#: Keys that compared pictures have in common at least.
+COMMON = 2
 #: Bits in which matched descriptors may differ, places that have to agree, and their share of those of the smaller picture.
 MAX_BITS, AGREE, SHARE = 20, 6, 0.65
 #: Geometries that are counted out for a pair of pictures, the best voted ones.
@@ -309,7 +307,6 @@ def linked(a: bytes, b: bytes, max_bits: int = MAX_BITS, agree: int = AGREE, sha
 
 def _verified(pairs: DataFrame, corners: DataFrame, max_bits: int, agree: int, share: float) -> DataFrame:
     """The pairs (a, b) of nodes that are copies; pairs are spread by number, as comparing them takes time and not bytes."""
-    pairs = cut(pairs, "candidates")
     tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, pairs.count() // PAIRS)
     of = lambda side: corners.select(F.col("node").alias(side), F.col("blob").alias(f"blob_{side}"))
     both = join_hot(join_hot(pairs, of("a"), ["a"]), of("b"), ["b"]).select("a", "b", "blob_a", "blob_b").repartition(tasks)
@@ -322,57 +319,43 @@ def _verified(pairs: DataFrame, corners: DataFrame, max_bits: int, agree: int, s
     return both.mapInArrow(run, "a long, b long")
 
 
-def _ordered(rows: DataFrame, common: int) -> DataFrame:
-    """a < b of each pair that occurs `common` times at least."""
-    ends = rows.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key").distinct()
-    return ends.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= common).select("a", "b")
+def _sets(rooted: DataFrame) -> DataFrame:
+    """key, n, weight: of the keys whose pictures aren't all connected one for each set of pictures, the number of these pictures and of the keys that exactly they have.
 
-
-def _looking(corners: DataFrame, full: DataFrame, sure: float, rarest: int, rare: int, common: int) -> DataFrame:
-    """The rows of full (key, node, n, leader) by which a picture looks for others.
-
-    Of two pictures that share the part `sure` of the smaller one's keys, that
-    one shares `common` of its keys but the most frequent ones, so many as `sure`
-    leaves out (prefix filtering). These keys, and besides the `rarest` of those
-    that `rare` pictures have at most, are the rows.
+    Sets are told apart by 128 bits. So the many keys of a logo bring its pictures together about once.
     """
-    by_node = Window.partitionBy("node")
-    placed = full.withColumns({"place": F.row_number().over(by_node.orderBy("n", "key")), "shared": F.count("*").over(by_node)}).join(corners.select("node", F.size("keys").alias("total")), "node")
-    prefix = F.col("total") - F.ceil(F.col("total") * sure) + common
-    looks = (F.col("total") - F.col("shared") + F.col("place") <= prefix) | ((F.col("place") <= rarest) & (F.col("n") <= rare))
-    return placed.where(looks).select("key", "node", "n", "leader")
+    told = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
+    return told.where("low < high").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "n", "weight")
 
 
-def links(corners: DataFrame, max_bits: int = MAX_BITS, agree: int = AGREE, share: float = SHARE, sure: float = SURE, rarest: int = RAREST, rare: int = RARE, common: int = COMMON, part: int = PART) -> DataFrame:
+def links(corners: DataFrame, max_bits: int = MAX_BITS, agree: int = AGREE, share: float = SHARE, common: int = COMMON, part: int = PART) -> DataFrame:
     """Pairs (a, b) of nodes of CORNERS that connect the copies.
 
-    Keys that one picture has go at once. A picture looks for others by its rarer
-    keys, as _looking() says, so a logo on any number of pictures brings none of
-    them together, as long as it has less than the part `sure` of their keys. First
-    every picture is compared with the smallest node that has the key, which
-    finds large groups of copies without their pairs; then all that share a key
-    and are not connected yet, in pairs of parts of `part` pictures. Work grows
-    with the square of the pictures that consist of common keys and are no copies
-    of one another.
+    All pictures that share `common` keys are compared, however many pictures have
+    these, but for those that are connected already. Keys that one picture has
+    go at once. First every picture is compared with the smallest node that
+    has the key, which finds large groups of copies without their pairs; then
+    all that share keys and are not connected yet, in pairs of parts of `part`
+    pictures. Work grows with the square of the pictures that share keys and are no
+    copies of one another, such as those with one logo.
     """
     keyed = corners.select("node", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").drop("n")
     full = cut(join_hot(keyed, counts, ["key"]), "keys")
-    looking = cut(_looking(corners, full, sure, rarest, rare, common), "looking")
-    first = cut(_verified(_ordered(looking.select(F.col("node").alias("a"), F.col("leader").alias("b"), "key"), common), corners, max_bits, agree, share), "first_links")
+    leaders = full.where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    near = cut(leaders.where(F.col("n") >= common).select("a", "b"), "candidates")
+    first = cut(_verified(near, corners, max_bits, agree, share), "first_links")
     root = cut(components(first), "roots")
-    several = full.select("key", "node").join(root, "node", "left").groupBy("key").agg(F.min(F.coalesce("root", "node")).alias("low"), F.max(F.coalesce("root", "node")).alias("high")).where("low < high").select("key")
+    rooted = cut(join_hot(full.select("key", "node"), root, ["node"], "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
     parts = F.ceil(F.col("n") / part).cast("int")
-
-    def side(df: DataFrame) -> DataFrame:
-        rows = join_hot(df.select("key", "node", "n"), several, ["key"]).join(root, "node", "left")
-        return rows.select("key", "node", F.coalesce("root", "node").alias("root"), parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("mine"))
-
-    a = side(looking).select("key", F.col("node").alias("a"), F.col("root").alias("ra"), "mine", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
-    b = side(full).select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("mine").alias("other"), F.explode(F.expr("sequence(0, parts - 1)")).alias("mine"))
-    rest = a.join(b, ["key", "mine", "other"]).where("ra <> rb").select("a", "b", "key")
-    second = cut(_verified(_ordered(rest, common), corners, max_bits, agree, share), "second_links")
-    for df in (full, looking, root):
+    rows = join_hot(rooted, _sets(rooted), ["key"]).select("key", "node", "root", "weight", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("at"))
+    every = F.explode(F.expr("sequence(0, parts - 1)"))
+    a = rows.select("key", "weight", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("at").alias("mine"), every.alias("other"))
+    b = rows.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("at").alias("other"), every.alias("mine"))
+    rest = a.join(b, ["key", "mine", "other"]).where("a < b and ra <> rb").groupBy("a", "b").agg(F.sum("weight").alias("n")).where(F.col("n") >= common).select("a", "b")
+    left = cut(rest.join(near, ["a", "b"], "left_anti"), "candidates")
+    second = cut(_verified(left, corners, max_bits, agree, share), "second_links")
+    for df in (full, near, root, rooted, left):
         discard(df)
     return first.unionByName(second)
 

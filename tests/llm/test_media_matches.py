@@ -105,3 +105,27 @@ def test_matches_and_geometry():
     assert media.agreeing(points, turned) >= 36
     assert media.agreeing(points, turned[rng.permutation(40)]) < 12 and media.agreeing(points[:0], points[:0]) == 0
     assert not media.linked(b"", b"")
+
+
+def _node(node, keys, seed):
+    """A row of CORNERS: 40 corners that are alike for one seed."""
+    rng = np.random.default_rng(seed)
+    points = np.column_stack([rng.uniform(0, 400, (40, 2)), rng.uniform(0, 6, 40), np.ones(40)])
+    return node, True, 40, keys, media._blob(points, rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64))
+
+
+@pytest.mark.parametrize("part", [7, 2048])
+def test_copies_that_share_only_frequent_keys(spark, part):
+    """Two copies have three keys in common, a small part of their keys, and 80 other pictures have these too."""
+    own = lambda i: [1000 * (i + 1) + k for k in range(30)]
+    rows = [_node(i, [1, 2, 3, *own(i)], i) for i in range(80)] + [_node(i, [1, 2, 3, *own(i)], 500) for i in (90, 91)]
+    rows += [_node(i, [1, *own(i)], 600) for i in (92, 93)]  # one key in common is too few
+    corners = spark.createDataFrame(rows, media.CORNERS).repartition(4)
+    assert [tuple(r) for r in media.links(corners, part=part).collect()] == [(90, 91)]
+
+
+def test_keys_of_the_same_pictures_meet_once(spark):
+    """Ten keys of the same pictures are one of weight ten; those of connected pictures and of other ones are not."""
+    rows = [(k, i, i % 3) for k in range(10) for i in range(9)] + [(20, i, i % 3) for i in range(8)] + [(30, i, 0) for i in (0, 3, 6)]
+    got = media._sets(spark.createDataFrame(rows, "key long, node long, root long"))
+    assert sorted(map(tuple, got.collect())) == [(0, 9, 10), (20, 8, 1)]
