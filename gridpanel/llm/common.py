@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import sys
@@ -54,9 +55,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._gp_path = path
+    for made in _PASSING:
+        made.append(out)
     return out
 
 
+_PASSING: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def passing():
+    """What cut() writes within is deleted at the end, but for the frames given to the function that this yields."""
+    made: list[DataFrame] = []
+    held: list[DataFrame] = []
+    _PASSING.append(made)
+    try:
+        yield lambda df: held.append(df) or df
+    finally:
+        _PASSING[:] = [m for m in _PASSING if m is not made]
+        for df in made:
+            if not any(df is h for h in held):
+                discard(df)
+
+
 def own_name(df: DataFrame, *names: str) -> tuple[str, ...]:
     """The names, each with underscores put before it until no column of df is called so."""
     taken = {c.lower() for c in df.columns}

@@ -105,3 +105,40 @@ def test_near_copies_of_a_whole_table_go(spark, medium):
     assert all(len(x) >= 30 for x in found.values()) and sum(found[0.9]) >= 0.95 * len(found[0.9]) and sum(found[0.8]) >= 0.9 * len(found[0.8])
     alone = set(texts) - {i for p in pairs for i in p}
     assert len(alone & kept) >= 0.99 * len(alone)
+
+
+def test_near_copies_that_no_group_takes_lose_their_repeats(spark):
+    """Copies of any likeness with a tail of their own: after the third stage no 50 words stand at two places."""
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    texts = []
+    for k in range(24):
+        base = words(600)
+        texts += [(k, " ".join(base)), (100 + k, " ".join(base[: 480 + 4 * k] + words(120 - 4 * k)))]
+    docs = spark.createDataFrame(texts, DOCS).repartition(4)
+    out = corpus_pipeline.dedup_documents(spark, corpus_pipeline.dedup_lines(spark, docs, ""), "").collect()
+    left = {r["doc_id"]: r["text"].split() for r in out}
+    assert plain_words([(i, " ".join(w)) for i, w in left.items()]) == left
+    assert set(range(24)) <= set(left) and all(left[k] == dict(texts)[k].split() for k in range(24))
+
+
+def test_repeats_are_all_matches_extended_both_ways(spark):
+    """Against all pairs of places, each extended word by word as far as it goes."""
+    rng = random.Random(8)
+    pool = [[rng.choice("abcde") for _ in range(rng.randrange(5, 14))] for _ in range(6)]
+    texts = {i: [w for s in rng.choices(pool, k=4) for w in (*s, rng.choice("vwxyz"))] for i in range(12)}
+    run, want = 7, {i: set() for i in texts}
+    for i, a in texts.items():
+        for j, b in texts.items():
+            for p, q in ((p, q) for p in range(len(a)) for q in range(len(b)) if (i, p) < (j, q) and a[p] == b[q]):
+                low, high = 0, 1
+                while p + low and q + low and a[p + low - 1] == b[q + low - 1]:
+                    low -= 1
+                while p + high < len(a) and q + high < len(b) and a[p + high] == b[q + high]:
+                    high += 1
+                if high - low >= run:
+                    want[j].update(range(q + low, q + high))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], DOCS).repartition(3)
+    out = passages.dedup_passages(docs, run_words=run, gram_words=3).collect()
+    assert {r["doc_id"]: r["text"].split() for r in out} == {i: [w for k, w in enumerate(t) if k not in want[i]] for i, t in texts.items()}
+    assert sum(map(len, want.values())) > 100
